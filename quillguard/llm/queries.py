@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing, records
+from . import chat, html, langid, mixing, packing, quality, records
 
 QUERIES = {
+    "op1_quality": quality.query,
     "op2_mixing": mixing.query,
     "op5_records": records.query,
     "op6_packing": packing.query,
     "op8_chat": chat.query,
+    "op9_langid": langid.query,
+    "op10_html": html.query,
 }
 
 ORACLES = {
