@@ -11,15 +11,18 @@ import os
 import re
 from array import array
 
+import numpy as np
+
 #: A byte-level BPE with the common pattern: a run of other characters with the space before it is cut off on both sides;
 #: white space is cut as the pattern cuts it.
 BYTE_PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: A BPE that drops white space: runs of other characters are independent.
 WORD_PIECES = re.compile(r"\S+")
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
 #: Pieces kept in a worker, about 200 bytes each, and the length up to which a piece is kept.
 KEPT = 1_200_000
 KEPT_CHARS = 48
+TOGETHER = 8
 
 
 class CachedEncoder:
@@ -36,6 +39,10 @@ class CachedEncoder:
         self.pieces, self.folds = pieces, pieces is WORD_PIECES
         self.kept: dict[str, bytes] = {}
         self.refused = 0
+        #: By id: whether a word ends with it, or its number of bytes (a byte is one character of such a vocabulary).
+        self.sizes = np.zeros(max(self.t.get_vocab().values()) + 1, np.int64)
+        for token, i in self.t.get_vocab().items():
+            self.sizes[i] = token.endswith("</w>") if self.folds else len(token)
 
     @classmethod
     def of(cls, path: str, pieces: re.Pattern) -> "CachedEncoder":
@@ -49,36 +56,50 @@ class CachedEncoder:
         return [array("I", e.ids).tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _ODD.search(text):
-            return self.direct([text])[0]
-        parts, kept = self.pieces.findall(text), self.kept
-        ids = [*map(kept.get, parts)]
-        if None in ids:
-            own = self._missing({p for p, x in zip(parts, ids) if x is None})
-            ids = [own[p] if x is None else x for p, x in zip(parts, ids)]
-        return b"".join(ids)
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Some texts at a time: what the kept pieces lack is encoded at once for them."""
+        return [x for i in range(0, len(texts), TOGETHER) for x in self._some(texts[i : i + TOGETHER])]
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        kept, out, late, lack = self.kept, [], [], set()
+        for i, text in enumerate(texts):
+            if any(c in text for c in _ODD):
+                out.append(self.direct([text])[0])
+                continue
+            parts = self.pieces.findall(text)
+            ids = [*map(kept.get, parts)]
+            if None in ids:
+                late.append((i, parts, ids))
+                lack.update([p for p, x in zip(parts, ids) if x is None])
+                out.append(b"")
+            else:
+                out.append(b"".join(ids))
+        if late:
+            own = self._missing(lack)
+            for i, parts, ids in late:
+                out[i] = b"".join([own[p] if x is None else x for p, x in zip(parts, ids)])
+        return out
 
     def _missing(self, parts: set[str]) -> dict[str, bytes]:
-        kept, own, new, marked = self.kept, {}, [], []
+        kept, own, marked, folded = self.kept, {}, [], []
+        new: set[str] = set()
         for p in parts:
             # a letter or digit and the mark that ends a piece are always cut; case is dropped by one of the two kinds
             if len(p) > 2 and p[-1] in ".,!?" and p[-2].isalnum():
                 marked.append(p)
                 p = p[:-1]
             q = p.lower() if self.folds and p.isascii() else p
+            if q != p:
+                folded.append((p, q))
             if q not in own and (x := kept.get(q)) is not None:
                 own[q] = x
             elif q not in own:
-                new.append(q)
-                own[q] = b""
-            if q != p:
-                own[p] = None  # its folded form's, below
-        for p, x in zip(new, self.direct(new)):
-            own[p] = x
-        for p in [p for p, x in own.items() if x is None]:
-            own[p] = own[p.lower()]
+                new.add(q)
+        own.update(self._joined(new))
+        for p, q in folded:
+            own[p] = own[q]
         for p in marked:
             if (m := kept.get(p[-1])) is None:
                 m = kept[p[-1]] = self.direct([p[-1]])[0]
@@ -91,3 +112,32 @@ class CachedEncoder:
             kept.clear()  # other texts by now
             self.refused = 0
         return own
+
+    def _joined(self, new: set[str]) -> dict[str, bytes]:
+        """Encodes pieces in one string, and tells from the ids where each ends; other pieces one by one."""
+        if self.folds:  # letters alone are one word, and its last id has the word's end
+            easy = [p for p in new if p.isalpha() and max(p) < "\u0250"]
+            text = " ".join(easy)
+        else:  # a space and no other white space: its bytes are those of its ids
+            easy = [p for p in new if p[0] == " " and len(p) > 1 and not p[1].isspace()]
+            text = "".join(easy)
+        if len(easy) < 8:
+            easy, text = [], ""
+        out = {}
+        if easy:
+            ids = np.array(self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            if self.folds:
+                ends = np.flatnonzero(self.sizes[ids]) + 1
+            else:
+                ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(p.encode()) for p in easy])) + 1
+            if len(ends) != len(easy) or ends[-1] != len(ids):
+                raise ValueError("pieces and ids don't match")
+            raw, at = ids.tobytes(), 0
+            for p, e in zip(easy, (ends * 4).tolist()):
+                out[p] = raw[at:e]
+                at = e
+            new = new.difference(easy)
+        if new:
+            rest = [*new]
+            out.update(zip(rest, self.direct(rest)))
+        return out

@@ -90,8 +90,8 @@ def cut(docs: DataFrame, encode, capacity: int = CAPACITY, end_id: int = END_ID)
         enc = encode()
         for b in batches:
             rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = enc(text) + end
+            for doc_id, ids in zip(b.column(0).to_pylist(), enc(b.column(1).to_pylist())):
+                ids += end
                 n = len(ids) // 4
                 rows += [(doc_id, s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)]), n) for s in range(0, n, capacity)]
             if rows:
@@ -142,7 +142,7 @@ def default_encoder():
     def encode():
         from quillguard.llm.encoding import WORD_PIECES, CachedEncoder
 
-        return CachedEncoder.of(path, WORD_PIECES).encode
+        return CachedEncoder.of(path, WORD_PIECES).encode_many
 
     return encode
 

@@ -83,7 +83,7 @@ class Shard:
 
 
 def write_records(docs: DataFrame, encode, to: str, end_id: int = END_ID) -> DataFrame:
-    """Writes docs (doc_id, text) under the folder `to`; encode: a function without arguments that gives text -> bytes of ids.
+    """Writes docs (doc_id, text) under the folder `to`; encode: a function without arguments that gives texts -> the bytes of ids of each.
 
     Returns the manifest: shard, path, n_records, n_ids, in the order of the shards.
     """
@@ -107,8 +107,8 @@ def write_records(docs: DataFrame, encode, to: str, end_id: int = END_ID) -> Dat
         offsets, at, n_ids = [], 0, 0
         with fs.open_output_stream(temp) as f:
             for b in batches:
-                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    ids = enc(text) + end
+                for doc_id, ids in zip(b.column(0).to_pylist(), enc(b.column(1).to_pylist())):
+                    ids += end
                     x = frame(doc_id, ids)
                     f.write(x)
                     offsets.append(at)
@@ -169,6 +169,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     def encode():
         from quillguard.llm.encoding import BYTE_PIECES, CachedEncoder
 
-        return CachedEncoder.of(path, BYTE_PIECES).encode
+        return CachedEncoder.of(path, BYTE_PIECES).encode_many
 
     return read_records(write_records(table(spark, sf_dir, "documents"), encode, shared_dir(spark)))
