@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, html, langid, mixing, packing, quality, records
+from . import chat, html, langid, mixing, packing, quality, records, vectors
 
 QUERIES = {
     "op1_quality": quality.query,
     "op2_mixing": mixing.query,
+    "op4_vectors": vectors.query,
     "op5_records": records.query,
     "op6_packing": packing.query,
     "op8_chat": chat.query,
@@ -16,5 +17,6 @@ QUERIES = {
 
 ORACLES = {
     "op2_mixing": mixing.ORACLE,
+    "op4_vectors": vectors.ORACLE,
     "op8_chat": chat.ORACLE,
 }
