@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, html, langid, mixing, packing, quality, records, vectors
+from . import chat, html, langid, mixing, neardup, packing, quality, records, vectors
 
 QUERIES = {
     "op1_quality": quality.query,
     "op2_mixing": mixing.query,
+    "op3_neardup": neardup.query,
     "op4_vectors": vectors.query,
     "op5_records": records.query,
     "op6_packing": packing.query,
