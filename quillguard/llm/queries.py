@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, html, langid, mixing, neardup, packing, quality, records, vectors
+from . import chat, html, langid, mixing, neardup, packing, quality, records, suffixes, vectors
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_vectors": vectors.query,
     "op5_records": records.query,
     "op6_packing": packing.query,
+    "op7_suffixes": suffixes.query,
     "op8_chat": chat.query,
     "op9_langid": langid.query,
     "op10_html": html.query,
