@@ -152,8 +152,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return predict_with(docs.select("doc_id", "text"), model)
 
 
-def predict_with(docs: DataFrame, model: Model) -> DataFrame:
-    """docs, of which a column is text, without text and with the prediction."""
+def predict_with(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
+    """docs, of which a column is text, with the prediction (lang_pred, score, ambiguous); without text unless it is kept."""
     import pyarrow as pa
 
     spark = docs.sparkSession
@@ -165,15 +165,21 @@ def predict_with(docs: DataFrame, model: Model) -> DataFrame:
         m = sent.value
         for b in batches:
             got = [m.predict(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-            names = [n for n in b.schema.names if n != "text"]
+            names = [n for n in b.schema.names if keep_text or n != "text"]
             cols = [b.column(b.schema.get_field_index(n)) for n in names]
             a, s, f = zip(*got) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(a, pa.string()), pa.array(s, pa.float64()), pa.array(f, pa.bool_())], [*names, "lang_pred", "score", "ambiguous"])
 
-    rest = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
+    rest = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if keep_text or f.name != "text"]
     return docs.mapInArrow(run, ", ".join([*rest, "lang_pred string, score double, ambiguous boolean"]))
 
 
+def known(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """Rows of docs (doc_id, text, lang) whose language is told without ambiguity, by a model of these documents."""
+    columns = docs.columns
+    return predict_with(docs, fit(docs, per_language), True).where((F.col("lang_pred") != UNDETERMINED) & ~F.col("ambiguous")).select(*[F.col(f"`{c}`") for c in columns])
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs)

@@ -45,22 +45,41 @@ def targets(sources: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -
     return s.withColumn("target", F.least(F.col("_cap"), F.coalesce(F.col("_at") * F.col("_w"), F.col("_cap")))).drop("_w", "_cap", "_total", "_level", "_open", "_at")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, per_bucket: int = PER_BUCKET, seed: str = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row of docs (doc_id, text, source)."""
+def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, per_bucket: int = PER_BUCKET, seed: str = SEED, carried: tuple = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken and carried columns of every row of docs (doc_id, text, source)."""
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    sized = docs.select("doc_id", "source", word_count("text").alias("size"), key.alias("_key"))
+    sized = docs.select("doc_id", "source", word_count("text").alias("size"), key.alias("_key"), *carried)
     sized = materialize(sized)  # the texts are read once
     sources = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count(F.lit(1)).alias("_n"))
     t = targets(sources, weights, max_epochs)
     rows = sized.withColumn("_h", F.conv(F.substring("_key", 1, 8), 16, 10).cast("long"))
-    rows = hot_safe_rank(rows, ["source"], [F.col("_key"), F.col("doc_id"), F.col("size")], per_bucket, t.select("source", "_n"), "_before", "size")
+    rows = hot_safe_rank(rows, ["source"], [F.col("_key"), F.col("doc_id"), F.col("size"), *[F.col(c) for c in sized.columns[4:]]], per_bucket, t.select("source", "_n"), "_before", "size")
     t = t.withColumnRenamed("source", "_source")
     budget = F.floor(F.col("target") + F.lit(0.5)).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size")
     partly = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("_before")))
     joined = rows.join(t, rows["source"].eqNullSafe(t["_source"]), "inner")
-    return joined.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + partly).cast("long").alias("taken"))
+    return joined.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + partly).cast("long").alias("taken"), *sized.columns[4:])
+
+
+def mixed(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """The mix itself: rows of docs (doc_id, text, source, n_chars and others), a document as often as the mix takes it whole.
+
+    The document at a source's cut comes once more with its first words only, parted by single spaces.
+    """
+    columns = docs.columns
+    own = docs.withColumn("_d", F.md5(F.col("text").cast("binary")))
+    m = mix(docs, weights, max_epochs, carried=(F.md5(F.col("text").cast("binary")).alias("_m"),)).where("taken > 0")
+    # equal rows are one row here, taken as often as all of them
+    m = m.groupBy(F.col("doc_id").alias("_id"), "_m").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"))
+    both = own.join(m, own["doc_id"].eqNullSafe(m["_id"]) & (own["_d"] == m["_m"])).dropDuplicates(["doc_id", "_d"])
+    whole = F.floor(F.col("_taken") / F.col("_size")).cast("int")
+    rest = (F.col("_taken") % F.col("_size")).cast("int")
+    first = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), 1, F.greatest(rest, F.lit(1))), " ")
+    texts = F.concat(F.array_repeat(F.col("text"), whole), F.when(rest > 0, F.array(first)).otherwise(F.array().cast("array<string>")))
+    copies = both.withColumn("text", F.explode(texts))
+    return copies.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

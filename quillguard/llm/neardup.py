@@ -242,5 +242,11 @@ def _texts(own: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialize(got.groupBy("doc_id", "digest").agg(F.first("text").alias("text")).select(F.col("doc_id").alias("rep"), "text"))
 
 
+def deduplicate(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """Rows of docs (doc_id, text): one document of each class, once; documents without doc_id stay."""
+    kept = classify(docs, threshold).where(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"))

@@ -392,12 +392,12 @@ def spans(windows: list[dict] | None, length: int = LENGTH) -> list[tuple[int, i
     return [(s, e) for s, e in out]
 
 
-def remove(docs: DataFrame, columns: dict[str, str], make, length: int = LENGTH) -> DataFrame:
-    """Rows of docs (doc_id, text) with make(bytes, spans, kept bytes) -> tuple in columns of those kinds."""
+def remove(docs: DataFrame, columns: dict[str, str], make, length: int = LENGTH, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and the carried columns of docs (doc_id, text), and make(bytes, spans, kept bytes) -> tuple in columns of those kinds."""
     import pyarrow as pa
 
-    own = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("b"))
-    found = removals(own.where(F.col("doc_id").isNotNull()), length)
+    own = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("b"), *carried)
+    found = removals(own.where(F.col("doc_id").isNotNull()).select("doc_id", "b"), length)
     kinds = {"long": pa.int64(), "string": pa.string(), "array<struct<s:int,e:int>>": pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))}
 
     def run(batches):
@@ -411,9 +411,21 @@ def remove(docs: DataFrame, columns: dict[str, str], make, length: int = LENGTH)
                     at = e
                 kept.append(x[at:])
                 rows.append(make(x, cut, b"".join(kept)))
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[i] for r in rows], kinds[k]) for i, k in enumerate(columns.values())]], ["doc_id", *columns])
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[3:], *[pa.array([r[i] for r in rows], kinds[k]) for i, k in enumerate(columns.values())]], ["doc_id", *carried, *columns])
 
-    return own.join(found, "doc_id", "left").select("doc_id", "b", "windows").mapInArrow(run, ", ".join(["doc_id long", *[f"{n} {k}" for n, k in columns.items()]]))
+    rest = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carried).schema]
+    return own.join(found, "doc_id", "left").select("doc_id", "b", "windows", *carried).mapInArrow(run, ", ".join(["doc_id long", *rest, *[f"{n} {k}" for n, k in columns.items()]]))
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs (doc_id, text, n_chars and others) with the rest of each text; a character of which a byte goes, goes whole."""
+
+    def make(x, cut, kept):
+        text = kept.decode("utf-8", "ignore")
+        return text, len(text)
+
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    return remove(docs, {"text": "string", "n_chars": "long"}, make, length, others).select(*docs.columns)
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
