@@ -3,7 +3,7 @@
 A whole suffix array of the corpus would shuffle each byte's suffix several times over. Two steps keep to what can repeat:
 
 1. Each window of `LENGTH` bytes has an anchor: the least hash among its grams of `GRAM` bytes. Equal windows have equal anchors,
-   so a window repeats only if its anchor is found in two documents. Anchors (one for about 20 bytes) are sorted by ranges of
+   so a window repeats only if its anchor is found in two different texts (copies of a text are told by its hash). Anchors (one for about 20 bytes) are sorted by ranges of
    their hash; which of them repeat goes back to the documents.
 2. A run of windows with one repeated anchor is a context, the bytes of those windows. All windows with one anchor meet, in
    blocks of contexts. A block is suffix-sorted by the difference cover of 3: triples at positions 1 and 2 mod 3 are sorted
@@ -128,8 +128,8 @@ def difference_cover(s: np.ndarray, cover: int, length: int) -> np.ndarray:
     return out
 
 
-def smallest(contexts: list[bytes], docs: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """Per context, for each of its windows, the smallest document that has the window in any of the contexts."""
+def smallest(contexts: list[bytes], docs: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one smallest document that has them in any of the contexts: context, first window, windows, document."""
     sizes = np.array([len(c) for c in contexts])
     text = np.frombuffer(b"".join(contexts), np.uint8)
     n, starts = len(text), np.concatenate(([0], np.cumsum(sizes)))
@@ -144,10 +144,12 @@ def smallest(contexts: list[bytes], docs: np.ndarray, length: int = LENGTH) -> l
     whole = np.arange(n) + length <= starts[owner + 1]
     doc = np.where(whole, docs[owner], np.iinfo(np.int64).max)
     group = np.flatnonzero(np.concatenate(([True], ~same)))
-    least = np.minimum.reduceat(doc[sa], group)
-    out = np.empty(n, np.int64)
-    out[sa] = np.repeat(least, np.diff(np.append(group, n)))
-    return [out[s : s + k - length + 1] for s, k in zip(starts, sizes)]
+    least = np.empty(n, np.int64)
+    least[sa] = np.repeat(np.minimum.reduceat(doc[sa], group), np.diff(np.append(group, n)))
+    at = np.flatnonzero(whole)
+    c, m = owner[at], least[at]
+    edge = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (m[1:] != m[:-1]))))
+    return c[edge], at[edge] - starts[c[edge]], np.diff(np.append(edge, len(at))), m[edge]
 
 
 def _blob(docs: np.ndarray, keys: np.ndarray, known: np.ndarray) -> bytes:
@@ -163,7 +165,7 @@ def _unblob(x: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def repeated_anchors(docs: DataFrame, buckets: int, length: int) -> DataFrame:
-    """doc_id, key of the anchors that two documents have. docs: doc_id, b (bytes)."""
+    """tid, key of the anchors that two different texts have. docs: tid (a hash of the text), b (bytes)."""
     import pyarrow as pa
 
     def gather(batches):
@@ -173,6 +175,8 @@ def repeated_anchors(docs: DataFrame, buckets: int, length: int) -> DataFrame:
             d, k = np.concatenate(ds), np.concatenate(ks)
             order = np.lexsort((d, k))
             d, k = d[order], k[order]
+            new = np.concatenate(([True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])))  # copies of a text count once
+            d, k = d[new], k[new]
             first = np.concatenate(([True], k[1:] != k[:-1]))
             group = np.flatnonzero(first)
             ends = np.append(group[1:], len(k))
@@ -218,7 +222,7 @@ def repeated_anchors(docs: DataFrame, buckets: int, length: int) -> DataFrame:
                 yield answer(d[on], np.int64(bucket) << np.int64(32) | h[on].astype(np.int64))
 
         def answer(d, k):
-            return pa.RecordBatch.from_arrays([pa.array(d.astype(np.int64)), pa.array(k)], ["doc_id", "key"])
+            return pa.RecordBatch.from_arrays([pa.array(d.astype(np.int64)), pa.array(k)], ["tid", "key"])
 
         for b in batches:
             for own, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -234,17 +238,20 @@ def repeated_anchors(docs: DataFrame, buckets: int, length: int) -> DataFrame:
         if held:
             yield from out()
 
-    sent = docs.select("doc_id", "b").mapInArrow(gather, "bucket int, blob binary")
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(reduce, "doc_id long, key long")
+    sent = docs.select("tid", "b").mapInArrow(gather, "bucket int, blob binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(reduce, "tid long, key long")
 
 
 def contexts(docs: DataFrame, keys: DataFrame, buckets: int, length: int) -> DataFrame:
-    """Rows of two kinds: places (doc_id, c, start: lists by document), contexts (h, c0, context, doc: once a task, with its smallest document)."""
+    """Rows of two kinds: places (doc_id, tid, c, start: lists by document), contexts (h, c0, context, doc: once a task, with its smallest document).
+
+    docs: doc_id, tid, b, of each text its smallest document; keys: doc_id, tid, key.
+    """
     import pyarrow as pa
 
-    by_doc = keys.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))  # no more than the text has windows
-    joined = docs.join(by_doc, "doc_id").select("doc_id", "b", "keys")
-    schema = pa.schema([("doc_id", pa.int64()), ("c", pa.list_(pa.int64())), ("start", pa.list_(pa.int32())), ("h", pa.int64()), ("c0", pa.int64()), ("context", pa.binary()), ("doc", pa.int64())])
+    by_doc = keys.groupBy("doc_id", "tid").agg(F.collect_list("key").alias("keys"))  # no more than the text has windows
+    joined = docs.join(by_doc, ["doc_id", "tid"]).select("doc_id", "b", "keys", "tid")
+    schema = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("c", pa.list_(pa.int64())), ("start", pa.list_(pa.int32())), ("h", pa.int64()), ("c0", pa.int64()), ("context", pa.binary()), ("doc", pa.int64())])
 
     def run(batches):
         from xxhash import xxh64_intdigest
@@ -257,11 +264,11 @@ def contexts(docs: DataFrame, keys: DataFrame, buckets: int, length: int) -> Dat
             for i in range(0, len(rows), 5000):
                 part = rows[i : i + 5000]
                 none = pa.nulls(len(part))
-                yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), pa.nulls(len(part), schema.field(1).type), pa.nulls(len(part), schema.field(2).type), pa.array([v[2] for _, v in part], pa.int64()), pa.array([k for k, _ in part], pa.int64()), pa.array([v[1] for _, v in part], pa.binary()), pa.array([v[0] for _, v in part], pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), pa.nulls(len(part), schema.field(2).type), pa.nulls(len(part), schema.field(3).type), pa.array([v[2] for _, v in part], pa.int64()), pa.array([k for k, _ in part], pa.int64()), pa.array([v[1] for _, v in part], pa.binary()), pa.array([v[0] for _, v in part], pa.int64())], schema=schema)
 
         for b in batches:
-            ids, cs, starts = [], [], []
-            for doc_id, x, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            ids, tids, cs, starts = [], [], [], []
+            for doc_id, x, wanted, tid in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
                 a = anchors(x, length)
                 if not len(a):
                     continue
@@ -280,18 +287,19 @@ def contexts(docs: DataFrame, keys: DataFrame, buckets: int, length: int) -> Dat
                     elif doc_id < v[0]:
                         v[0] = doc_id
                 ids.append(doc_id)
+                tids.append(tid)
                 cs.append(c)
                 starts.append(lo[on].astype(np.int32))
             if ids:
                 n = len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cs, schema.field(1).type), pa.array(starts, schema.field(2).type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tids, pa.int64()), pa.array(cs, schema.field(2).type), pa.array(starts, schema.field(3).type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], schema=schema)
             if size > 100_000_000:
                 yield from out()
                 held.clear()
                 size = 0
         yield from out()
 
-    return joined.mapInArrow(run, "doc_id long, c array<long>, start array<int>, h long, c0 long, context binary, doc long")
+    return joined.mapInArrow(run, "doc_id long, tid long, c array<long>, start array<int>, h long, c0 long, context binary, doc long")
 
 
 def owners(found: DataFrame, length: int) -> DataFrame:
@@ -304,7 +312,7 @@ def owners(found: DataFrame, length: int) -> DataFrame:
     names = ["c", "s", "n", "m"]
 
     def emit(done):
-        c, s, n, m = (np.concatenate(x) for x in zip(*done))
+        c, s, n, m = (np.asarray(x) for x in done)
         return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(m.astype(np.int64))], names)
 
     def run(batches):
@@ -313,12 +321,8 @@ def owners(found: DataFrame, length: int) -> DataFrame:
         now, size = None, 0
 
         def out():
-            least = smallest([x for _, x, _ in block], np.array([d for _, _, d in block], np.int64), length)
-            done = []
-            for (c, _, _), m in zip(block, least):
-                edge = np.concatenate(([0], np.flatnonzero(m[1:] != m[:-1]) + 1))
-                done.append((np.full(len(edge), c), edge, np.diff(np.append(edge, len(m))), m[edge]))
-            return emit(done)
+            c, first, n, m = smallest([x for _, x, _ in block], np.array([d for _, _, d in block], np.int64), length)
+            return emit((np.array([c for c, _, _ in block], np.int64)[c], first, n, m))
 
         def close():
             """A context that is alone with its anchor is settled; others go to the block."""
@@ -336,8 +340,7 @@ def owners(found: DataFrame, length: int) -> DataFrame:
         for b in batches:
             for h, c, x, d in zip(*(k.to_pylist() for k in b.columns)):
                 if h != now:
-                    close_now = now is not None
-                    if close_now:
+                    if now is not None:
                         close()
                     if size > BLOCK:
                         yield out()
@@ -349,12 +352,12 @@ def owners(found: DataFrame, length: int) -> DataFrame:
                 elif d < v[1]:
                     v[1] = d
             if len(alone) > 5000:
-                yield emit([tuple(np.array(k) for k in zip(*alone))])
+                yield emit(zip(*alone))
                 alone = []
         if now is not None:
             close()
         if alone:
-            yield emit([tuple(np.array(k) for k in zip(*alone))])
+            yield emit(zip(*alone))
         if block:
             yield out()
 
@@ -368,16 +371,23 @@ def owners(found: DataFrame, length: int) -> DataFrame:
 
 
 def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, windows (start and number of successive windows that a smaller document has). docs: doc_id, b (bytes)."""
+    """doc_id, tid, windows (start and number of successive windows that a smaller document has). docs: doc_id, tid, b (bytes).
+
+    A copy of a smaller document loses all; so only the smallest document of each text takes part in the search.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = materialize(repeated_anchors(docs, buckets, length))
+    slim = materialize(docs.where(F.length("b") >= length).select("doc_id", "tid", F.md5("b").alias("digest"), F.length("b").alias("size")).distinct())
+    texts = slim.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("tid").alias("tid"))
+    copies = slim.join(texts.select("digest", F.col("doc_id").alias("first")), "digest").where("doc_id > first")
+    keys = materialize(repeated_anchors(docs, buckets, length).distinct().join(texts.select("doc_id", "tid"), "tid"))
     found = materialize(contexts(docs, keys, buckets, length))
     own = materialize(owners(found, length))
-    places = found.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(F.arrays_zip("c", "start")).alias("x")).select("doc_id", F.col("x.c").alias("c"), F.col("x.start").alias("start"))
-    hits = places.join(own, "c").where("doc_id > m").select("doc_id", (F.col("start") + F.col("s")).alias("s"), "n")
-    return materialize(hits.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("s", "n")).alias("windows")))
+    places = found.where(F.col("doc_id").isNotNull()).select("doc_id", "tid", F.explode(F.arrays_zip("c", "start")).alias("x")).select("doc_id", "tid", F.col("x.c").alias("c"), F.col("x.start").alias("start"))
+    hits = places.join(own, "c").where("doc_id > m").select("doc_id", "tid", F.struct((F.col("start") + F.col("s")).alias("s"), "n").alias("w"))
+    whole = copies.select("doc_id", "tid", F.array(F.struct(F.lit(0).alias("s"), (F.col("size") - (length - 1)).cast("int").alias("n"))).alias("windows"))
+    return materialize(hits.groupBy("doc_id", "tid").agg(F.collect_list("w").alias("windows")).unionByName(whole))
 
 
 def spans(windows: list[dict] | None, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -396,8 +406,8 @@ def remove(docs: DataFrame, columns: dict[str, str], make, length: int = LENGTH,
     """doc_id and the carried columns of docs (doc_id, text), and make(bytes, spans, kept bytes) -> tuple in columns of those kinds."""
     import pyarrow as pa
 
-    own = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("b"), *carried)
-    found = removals(own.where(F.col("doc_id").isNotNull()).select("doc_id", "b"), length)
+    own = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("b"), *carried).withColumn("tid", F.xxhash64("b"))
+    found = removals(own.where(F.col("doc_id").isNotNull()).select("doc_id", "tid", "b"), length)
     kinds = {"long": pa.int64(), "string": pa.string(), "array<struct<s:int,e:int>>": pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))}
 
     def run(batches):
@@ -414,7 +424,7 @@ def remove(docs: DataFrame, columns: dict[str, str], make, length: int = LENGTH,
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[3:], *[pa.array([r[i] for r in rows], kinds[k]) for i, k in enumerate(columns.values())]], ["doc_id", *carried, *columns])
 
     rest = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carried).schema]
-    return own.join(found, "doc_id", "left").select("doc_id", "b", "windows", *carried).mapInArrow(run, ", ".join(["doc_id long", *rest, *[f"{n} {k}" for n, k in columns.items()]]))
+    return own.join(found, ["doc_id", "tid"], "left").select("doc_id", "b", "windows", *carried).mapInArrow(run, ", ".join(["doc_id long", *rest, *[f"{n} {k}" for n, k in columns.items()]]))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
