@@ -121,7 +121,7 @@ def main(args: list[str] | None = None) -> int:
         from .operators.protect import WRITABLE, protect_files
         from .operators.redact import Redaction, Style
 
-        f = S.sniffed(S.read_files(spark, a.file)).withColumn("content", F.decode("content", "UTF-8"))
+        f = S.sniffed(S.read_files(spark, a.file)).withColumn("content", F.make_valid_utf8(F.col("content").cast("string")))
         r = protect_files(f, _policy(a.policy), Redaction(Style(a.style))).first()
         if r is None:
             sys.exit(f"only {', '.join(WRITABLE)} can be written")

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..data import shipped
-from ..functions import regexkit as R
 
 BROADCAST_TERMS = 500_000
 WORD = r"[\p{L}\p{M}\p{N}_]+(?:['’.][\p{L}\p{M}\p{N}_]+)*"
@@ -57,6 +56,20 @@ def jaro_winkler(a: str, b: str) -> float:
     return j + prefix * 0.1 * (1 - j) if j > 0.7 else j
 
 
+def can_reach(a: str, b: str, threshold: float) -> bool:
+    """Whether the lengths, the common prefix and the common letters allow a similarity of the threshold; cheaper than the similarity."""
+    prefix = 0
+    for x, y in zip(a[:4], b[:4]):
+        if x != y:
+            break
+        prefix += 1
+    need = (threshold - 0.1 * prefix) / (1 - 0.1 * prefix)
+    per = 1 / len(a) + 1 / len(b) if a and b else 0
+    if (min(len(a), len(b)) * per + 1) / 3 < need:
+        return False
+    return (sum(min(a.count(c), b.count(c)) for c in set(a)) * per + 1) / 3 >= need - 1e-12
+
+
 def trigrams(word: str) -> set[str]:
     return {word[i : i + 3] for i in range(len(word) - 2)} if len(word) >= 3 else {word} if word else set()
 
@@ -110,7 +123,7 @@ class Dictionary:
 
     def find_fuzzy(self, normalized: str, threshold: float = 0.85) -> list[tuple[Entry, float]]:
         """Candidates by trigrams; without any, all terms."""
-        found = [(self.entries[t], s) for t in self.candidates(normalized) or self.entries if (s := jaro_winkler(normalized, t)) >= threshold]
+        found = [(self.entries[t], s) for t in self.candidates(normalized) or self.entries if can_reach(normalized, t, threshold) and (s := jaro_winkler(normalized, t)) >= threshold]
         return sorted(found, key=lambda x: (-x[1], x[0].term))
 
 
@@ -196,8 +209,12 @@ class Config:
         return d.category in self.categories and (d.locale in self.locales or d.locale == "generic")
 
 
-def words_of(text: Column) -> Column:
-    return R.find_all(text, WORD)
+@F.udf("array<struct<start:int,end:int,text:string>>", useArrow=True)
+def words_of(text):
+    """Words with their places. A text has very many; adding them to an array one by one in an expression would be quadratic."""
+    import regex
+
+    return [(m.start(), m.end(), m[0]) for m in regex.finditer(WORD, text or "")]
 
 
 def confidence(frequency: Column, similarity: Column, prefix: Column, word: Column) -> Column:
@@ -227,7 +244,9 @@ def lookup(words: DataFrame, registry: DictionaryRegistry, config: Config) -> Da
                     rows += [(w, d.id, d.category, d.locale, e.term, e.frequency, s) for e, s in found]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i < 5 else pa.float64()) for i in range(7)], names)
 
-    return words.select("word").mapInArrow(run, "word string, dictionary_id string, category string, locale string, term string, frequency double, similarity double")
+    # words alone are little data, which would be put into one task
+    n = max(words.sparkSession.sparkContext.defaultParallelism, int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return words.select("word").repartition(n, "word").mapInArrow(run, "word string, dictionary_id string, category string, locale string, term string, frequency double, similarity double")
 
 
 def _lookup_joined(words: DataFrame, own: list[Dictionary], config: Config) -> DataFrame:

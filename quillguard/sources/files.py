@@ -91,12 +91,19 @@ def parse_files(spark: SparkSession, *paths: str, **options) -> DataFrame:
     return parsed(sniffed(read_files(spark, *paths, **options)))
 
 
+@F.udf("array<int>", useArrow=True)
+def _starts(lengths):
+    from itertools import accumulate
+
+    return [0, *accumulate(n + 1 for n in lengths[:-1])] if lengths is not None else None
+
+
 def text_lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Native: one segment a line of a text column, with line number from 1 and the character offset of its start."""
-    lines = F.split(F.col(text), "\n")
-    one = documents.select(key, F.posexplode(lines).alias("i", "line"), F.col(text).alias("_t"))
-    offset = F.expr("length(_t) - length(substring_index(_t, '\n', i - size(split(_t, '\n')))) ")
-    return one.select(key, F.col("i").alias("segment_index"), (F.col("i") + 1).alias("line"), F.when(F.col("i") == 0, 0).otherwise(offset).cast("int").alias("char_offset"), F.regexp_replace("line", "\r$", "").alias("content"))
+    """One segment a line of a text column, with line number from 1 and the character offset of its start. Only lengths leave the JVM."""
+    lines = documents.select(key, F.split(F.col(text), "\n").alias("_l"))
+    placed = lines.withColumn("_s", _starts(F.transform("_l", F.length)))
+    one = placed.select(key, F.posexplode(F.arrays_zip("_l", "_s")).alias("i", "x"))
+    return one.select(key, F.col("i").alias("segment_index"), (F.col("i") + 1).alias("line"), F.col("x._s").alias("char_offset"), F.regexp_replace("x._l", "\r$", "").alias("content"))
 
 
 def json_strings(documents: DataFrame, key: str, column: str, *paths: str) -> DataFrame:

@@ -51,7 +51,7 @@ def _looks_csv(text: Column) -> Column:
 def detect_format(content: Column, name: Column | None = None) -> Column:
     head = F.substring(content, 1, SNIFF_BYTES)
     mark = F.hex(F.substring(content, 1, 4))
-    text = F.ltrim(F.regexp_replace(F.decode(head, "UTF-8"), "^﻿", ""))
+    text = F.ltrim(F.regexp_replace(latin(head), "^\u00ef\u00bb\u00bf", ""))  # what is looked for is ASCII; a head can end inside a character
     lower = F.lower(text)
     html = F.lit(False)
     for t in _TAGS:
