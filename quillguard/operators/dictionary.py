@@ -209,12 +209,16 @@ class Config:
         return d.category in self.categories and (d.locale in self.locales or d.locale == "generic")
 
 
-@F.udf("array<struct<start:int,end:int,text:string>>", useArrow=True)
-def words_of(text):
+def words_of(text: Column) -> Column:
     """Words with their places. A text has very many; adding them to an array one by one in an expression would be quadratic."""
-    import regex
 
-    return [(m.start(), m.end(), m[0]) for m in regex.finditer(WORD, text or "")]
+    @F.udf("array<struct<start:int,end:int,text:string>>", useArrow=True)
+    def run(t):
+        import regex
+
+        return [(m.start(), m.end(), m[0]) for m in regex.finditer(WORD, t or "")]
+
+    return run(text)
 
 
 def confidence(frequency: Column, similarity: Column, prefix: Column, word: Column) -> Column:

@@ -91,11 +91,14 @@ def parse_files(spark: SparkSession, *paths: str, **options) -> DataFrame:
     return parsed(sniffed(read_files(spark, *paths, **options)))
 
 
-@F.udf("array<int>", useArrow=True)
-def _starts(lengths):
-    from itertools import accumulate
+def _starts(lengths: Column) -> Column:
+    @F.udf("array<int>", useArrow=True)
+    def run(ns):
+        from itertools import accumulate
 
-    return [0, *accumulate(n + 1 for n in lengths[:-1])] if lengths is not None else None
+        return [0, *accumulate(n + 1 for n in ns[:-1])] if ns is not None else None
+
+    return run(lengths)
 
 
 def text_lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
