@@ -31,9 +31,9 @@ from .common import bound_batches, materialize, table
 
 LENGTH = 50
 GRAM = 16
-#: Anchors sorted at once in a task of the first step; bytes of a block; contexts of one anchor from which on it is split.
+#: Anchors sorted at once in a task of the first step; bytes of a block (its arrays stay in the cache); contexts of one anchor from which on it is split.
 FLUSH = 3_000_000
-BLOCK = 1_000_000
+BLOCK = 50_000
 LARGE_ANCHOR = 20_000
 _P = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -169,7 +169,10 @@ def repeated_anchors(docs: DataFrame, buckets: int, length: int) -> DataFrame:
     import pyarrow as pa
 
     def gather(batches):
-        ds, ks, n, turn = [], [], 0, 0
+        from pyspark import TaskContext
+
+        # answers go to any bucket beyond those of the anchors
+        ds, ks, n, turn = [], [], 0, 7919 * TaskContext.get().partitionId()
 
         def out():
             d, k = np.concatenate(ds), np.concatenate(ks)
