@@ -46,6 +46,16 @@ def materialize(df: DataFrame, *partitioned: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def boxed(docs: DataFrame, *apart: str) -> DataFrame:
+    """The columns apart, and all others in one struct __row, whose names then can't clash with those an operator makes."""
+    return docs.select(*[F.col(f"`{c}`") for c in apart], F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in apart]).alias("__row"))
+
+
+def unboxed(docs: DataFrame, columns: list[str], *apart: str) -> DataFrame:
+    """The inverse, in the order of columns."""
+    return docs.select(*[F.col(f"`{c}`") if c in apart else F.col(f"__row.`{c}`").alias(c) for c in columns])
+
+
 def sql_text(column: str | Column) -> Column:
     """A text column with null as the empty string."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

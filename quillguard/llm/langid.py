@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, table
+from .common import bound_batches, boxed, table, unboxed
 
 DIMS = 1 << 13
 PER_LANGUAGE = 1200
@@ -176,8 +176,8 @@ def predict_with(docs: DataFrame, model: Model, keep_text: bool = False) -> Data
 
 def known(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """Rows of docs (doc_id, text, lang) whose language is told without ambiguity, by a model of these documents."""
-    columns = docs.columns
-    return predict_with(docs, fit(docs, per_language), True).where((F.col("lang_pred") != UNDETERMINED) & ~F.col("ambiguous")).select(*[F.col(f"`{c}`") for c in columns])
+    told = predict_with(boxed(docs, "text"), fit(docs, per_language), True).where((F.col("lang_pred") != UNDETERMINED) & ~F.col("ambiguous"))
+    return unboxed(told, docs.columns, "text")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, hot_safe_rank, materialize, table, word_count
+from .common import WORD, boxed, hot_safe_rank, materialize, table, unboxed, word_count
 
 #: Weights of the sources in the order of their names, over and over.
 WEIGHTS = (5, 2, 1)
@@ -68,8 +68,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> Dat
 
     The document at a source's cut comes once more with its first words only, parted by single spaces.
     """
-    columns = docs.columns
-    own = docs.withColumn("_d", F.md5(F.col("text").cast("binary")))
+    own = boxed(docs, "doc_id", "text", "n_chars").withColumn("_d", F.md5(F.col("text").cast("binary")))
     m = mix(docs, weights, max_epochs, carried=(F.md5(F.col("text").cast("binary")).alias("_m"),)).where("taken > 0")
     # equal rows are one row here, taken as often as all of them
     m = m.groupBy(F.col("doc_id").alias("_id"), "_m").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"))
@@ -79,7 +78,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> Dat
     first = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), 1, F.greatest(rest, F.lit(1))), " ")
     texts = F.concat(F.array_repeat(F.col("text"), whole), F.when(rest > 0, F.array(first)).otherwise(F.array().cast("array<string>")))
     copies = both.withColumn("text", F.explode(texts))
-    return copies.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+    return unboxed(copies.withColumn("n_chars", F.length("text").cast("long")), docs.columns, "doc_id", "text", "n_chars")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize, table
+from .common import bound_batches, boxed, materialize, table, unboxed
 
 LENGTH = 50
 GRAM = 16
@@ -437,8 +437,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         text = kept.decode("utf-8", "ignore")
         return text, len(text)
 
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    return remove(docs, {"text": "string", "n_chars": "long"}, make, length, others).select(*docs.columns)
+    apart = ("doc_id", "text", "n_chars")
+    cut = remove(boxed(docs, *apart), {"text": "string", "n_chars": "long"}, make, length, ("__row",))
+    return unboxed(cut, docs.columns, *apart)
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
