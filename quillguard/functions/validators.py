@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .regexkit import let
+
 
 def _digit(c: Column) -> Column:
     return c.cast("int")
@@ -37,8 +39,8 @@ def mod97(value: Column) -> Column:
 
 def iban(value: Column) -> Column:
     """Letters and digits of an account number: its shape and its check digits."""
-    v = F.upper(F.regexp_replace(value, "[^0-9A-Za-z]", ""))
-    return v.rlike("^[A-Z]{2}[0-9]{2}") & F.length(v).between(15, 34) & mod97(F.concat(F.substring(v, 5, 34), F.substring(v, 1, 4)))
+    test = lambda v: v.rlike("^[A-Z]{2}[0-9]{2}") & F.length(v).between(15, 34) & mod97(F.concat(F.substring(v, 5, 34), F.substring(v, 1, 4)))
+    return let(F.upper(F.regexp_replace(value, "[^0-9A-Za-z]", "")), test)
 
 
 def ean13(digits: Column) -> Column:

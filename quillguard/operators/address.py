@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.building import quick
+
 COMPONENT = "struct<type:string,text:string,start:int,end:int>"
 BLOCK = f"struct<format:string,start:int,end:int,full_text:string,confidence:float,components:array<{COMPONENT}>>"
 
@@ -112,6 +114,7 @@ def _finish(text: Column, made: Column, form: str) -> Column:
     return F.aggregate(F.filter(alone, _valid), multi, lambda acc, b: F.when(F.exists(acc, lambda m: (m["start"] <= b["start"]) & (m["end"] >= b["end"])), acc).otherwise(F.concat(acc, F.array(b))))
 
 
+@quick
 def detect_addresses(df: DataFrame, form: str = "auto", text: str = "content", into: str = "addresses") -> DataFrame:
     """Adds the array of address blocks. form: en, de, fr, or auto for all three."""
     if form not in ("en", "de", "fr", "auto"):

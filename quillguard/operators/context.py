@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import regexkit as R
+from ..functions.building import quick
 
 BOOST, SUPPRESS, NEUTRAL = "boost", "suppress", "neutral"
 MARKER = "struct<start:int,end:int,text:string,action:string,weight:float,category:string>"
@@ -146,6 +147,7 @@ def sample_rules() -> str:
     return yaml.safe_dump({"version": "1.0", "language": "en", "description": "sample", "rules": [{"pattern": r"(?i)\bpatient\b", "action": BOOST, "weight": 0.3, "category": "person_name", "description": "a patient"}]}, sort_keys=False)
 
 
+@quick
 def markers(text: Column, rules: list[Rule], language: str = "en") -> Column:
     """All matches of the language's rules by start; rules that don't compile are left out."""
     own = [r.markers(text) for r in rules if r.applies_to(language) and r.compiles]
@@ -157,6 +159,7 @@ def near(marker: Column, f: Column, window: int = WINDOW) -> Column:
     return (marker["start"] - f["end"] <= window) & (f["start"] - marker["end"] <= window)
 
 
+@quick
 def analyze(df: DataFrame, rules: list[Rule], language: str = "en", text: str = "content", findings: str = "findings", scoped: bool = False) -> DataFrame:
     """Findings with adjusted confidence and context_reasoning.
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import regexkit as R
 from ..functions import validators as V
+from ..functions.building import quick
 from ..schema import FINDING, INVALID, UNVALIDATED, VALID
 
 Verdict = Column  # struct<validation,reason>
@@ -51,7 +52,7 @@ class Detector:
     def matches(self, text: Column) -> Column:
         if self.find:
             return self.find(text)
-        found = F.concat(*[R.find_all(text, p) for p in self.patterns]) if len(self.patterns) > 1 else R.find_all(text, self.patterns[0])
+        found = R.find_all_of(text, self.patterns) if len(self.patterns) > 1 else R.find_all(text, self.patterns[0])
         if self.keep:
             found = F.filter(found, lambda m: self.keep(m["text"]))
         if self.overlap is not None:
@@ -63,14 +64,16 @@ class Detector:
         return F.when(validation == VALID, base).when(validation == INVALID, base * F.lit(0.3).cast("float")).otherwise(base * F.lit(0.8).cast("float"))
 
     def findings(self, text: Column) -> Column:
-        def finding(m: Column) -> Column:
-            v = self.validate(m["text"])
+        def finding(x: Column) -> Column:
+            m, v = x["m"], x["v"]
             return F.struct(
                 F.lit(self.category).alias("category"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("matched_text"),
                 self.confidence(v["validation"]).cast("float").alias("confidence"), v["validation"].alias("validation"), v["reason"].alias("reason"),
             )
 
-        out = F.transform(self.matches(text), finding).cast(f"array<{FINDING}>")
+        # the verdict is computed once, and then used
+        judged = F.transform(self.matches(text), lambda m: F.struct(m.alias("m"), self.validate(m["text"]).alias("v")))
+        out = F.transform(judged, finding).cast(f"array<{FINDING}>")
         return F.when(text.rlike(self.guard), out).otherwise(R.empty(FINDING)) if self.guard else F.coalesce(out, R.empty(FINDING))
 
 
@@ -79,16 +82,16 @@ def _n(m: Column) -> Column:
 
 
 def _email(m: Column) -> Verdict:
-    host = F.element_at(F.split(m, "@", 2), 2)
-    return verdict((host.contains(".") & ~host.startswith(".") & ~host.endswith("."), "the domain isn't one"))
+    return R.let(F.element_at(F.split(m, "@", 2), 2), lambda h: verdict((h.contains(".") & ~h.startswith(".") & ~h.endswith("."), "the domain isn't one")))
 
 
 def _ssn(m: Column) -> Verdict:
-    d = R.digits_of(m)
-    area = F.substring(d, 1, 3)
-    return verdict(
-        (F.length(d) == 9, "not nine digits"), (area != "000", "area 000"), (area != "666", "area 666"), (~area.startswith("9"), "area from 900"),
-        (F.substring(d, 4, 2) != "00", "group 00"), (F.substring(d, 6, 4) != "0000", "serial 0000"),
+    return R.let(
+        R.digits_of(m),
+        lambda d: verdict(
+            (F.length(d) == 9, "not nine digits"), (~d.startswith("000"), "area 000"), (~d.startswith("666"), "area 666"), (~d.startswith("9"), "area from 900"),
+            (F.substring(d, 4, 2) != "00", "group 00"), (F.substring(d, 6, 4) != "0000", "serial 0000"),
+        ),
     )
 
 
@@ -97,26 +100,31 @@ def _document(m: Column) -> Verdict:
 
 
 def _tax_de(m: Column) -> Verdict:
-    d = R.digits_of(m)
-    return verdict((F.length(d) == 11, "not eleven digits"), (V.tax_id_de_distribution(d), "digit distribution"), (V.iso7064_11_10(d, 11), "check digit"))
+    return R.let(R.digits_of(m), lambda d: verdict((F.length(d) == 11, "not eleven digits"), (V.tax_id_de_distribution(d), "digit distribution"), (V.iso7064_11_10(d, 11), "check digit")))
 
 
 def _ahv(m: Column) -> Verdict:
-    d = R.digits_of(m)
-    return verdict((F.length(d) == 13, "not thirteen digits"), (d.startswith("756"), "country isn't 756"), (V.ean13(d), "check digit"))
+    return R.let(R.digits_of(m), lambda d: verdict((F.length(d) == 13, "not thirteen digits"), (d.startswith("756"), "country isn't 756"), (V.ean13(d), "check digit")))
 
 
 def _vat(m: Column) -> Verdict:
-    v = F.upper(R.alnum_of(m))
-    number = F.when(v.startswith("ATU"), F.substring(v, 4, 99)).otherwise(F.substring(v, 3, 99))
-    n, d = F.length(number), R.digits_of(number)
-    country = F.when(v.startswith("ATU"), F.lit("AT")).when(v.startswith("CHE"), F.lit("CH")).otherwise(F.substring(v, 1, 2))
-    known = {"DE": V.iso7064_11_10(d, 9), "AT": V.vat_at(d), "CH": n >= 9, "FR": n == 11, "IT": n == 11, "ES": n == 9, "NL": n == 12, "BE": n == 10, "PL": n == 10, "GB": n.isin(9, 12)}
-    ok = F.lit(None).cast("boolean")
-    for k, test in known.items():
-        ok = F.when(country == k, test).otherwise(ok)
-    none = F.lit(None).cast("string")
-    return F.struct(F.when(ok, VALID).when(~ok, INVALID).otherwise(UNVALIDATED).alias("validation"), F.when(~ok, F.concat(F.lit("format or check digit of "), country)).otherwise(none).alias("reason"))
+    def judge(v: Column) -> Column:
+        return R.let(F.struct(F.when(v.startswith("ATU"), F.lit("AT")).when(v.startswith("CHE"), F.lit("CH")).otherwise(F.substring(v, 1, 2)).alias("c"), F.when(v.startswith("ATU"), F.substring(v, 4, 99)).otherwise(F.substring(v, 3, 99)).alias("n"), R.digits_of(v).alias("d")), of)
+
+    def of(x: Column) -> Column:
+        c, n, d = x["c"], F.length(x["n"]), x["d"]
+        ok = (
+            F.when(c == "DE", R.let(d, lambda e: V.iso7064_11_10(e, 9))).when(c == "AT", R.let(d, V.vat_at)).when(c == "CH", n >= 9).when(c.isin("FR", "IT"), n == 11)
+            .when(c == "ES", n == 9).when(c == "NL", n == 12).when(c.isin("BE", "PL"), n == 10).when(c == "GB", n.isin(9, 12))
+        )
+        return R.let(F.struct(c.alias("c"), ok.alias("ok")), said)
+
+    def said(y: Column) -> Column:
+        ok = y["ok"]
+        reason = F.when(~ok, F.concat(F.lit("format or check digit of "), y["c"]))
+        return F.struct(F.when(ok, VALID).when(~ok, INVALID).otherwise(UNVALIDATED).alias("validation"), reason.alias("reason"))
+
+    return R.let(F.upper(R.alnum_of(m)), judge)
 
 
 _SEP = r"[\s.-]"
@@ -160,15 +168,15 @@ DEFAULT: dict[str, Detector] = {
     for d in (
         Detector("email", "email", 1.0, (r"[\w.%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",), guard="@", validate=_email),
         Detector("iban", "iban", 1.0, (r"(?i)\b[A-Z]{2}\s?\d{2}\s?(?:[A-Z0-9]\s?){11,30}\b",), guard=r"[a-zA-Z]{2}\s?\d\d", validate=lambda m: verdict((V.iban(m), "shape or check digits"))),
-        Detector("phone", "phone", 0.9, _phones(), guard=r"\d{2}", overlap=False, keep=lambda m: _n(m) >= 7, validate=lambda m: verdict((_n(m).between(7, 15), F.concat(_n(m).cast("string"), F.lit(" digits"))), otherwise=UNVALIDATED), sort=True),
-        Detector("credit_card", "credit_card", 1.0, (r"\b(?:\d[\s-]?){13,19}\b",), guard=r"(?:\d[\s-]?){13}", keep=lambda m: _n(m).between(13, 19), validate=lambda m: verdict((V.luhn(R.digits_of(m)), "check digit"))),
+        Detector("phone", "phone", 0.9, _phones(), guard=r"(?:\d[\s./()+-]{0,15}){7}", overlap=False, keep=lambda m: _n(m) >= 7, validate=lambda m: R.let(_n(m), lambda n: verdict((n.between(7, 15), F.concat(n.cast("string"), F.lit(" digits"))), otherwise=UNVALIDATED)), sort=True),
+        Detector("credit_card", "credit_card", 1.0, (r"\b(?:\d[\s-]?){13,19}\b",), guard=r"(?:\d[\s-]?){13}", keep=lambda m: _n(m).between(13, 19), validate=lambda m: R.let(R.digits_of(m), lambda d: verdict((V.luhn(d), "check digit")))),
         Detector("ssn", "ssn", 0.95, (r"\b\d{3}-\d\d-\d{4}\b", r"\b\d{3} \d\d \d{4}\b"), guard=r"\d{3}[- ]\d\d[- ]\d{4}", overlap=True, validate=_ssn),
-        Detector("passport", "passport", 0.85, (r"\b[A-Z]\d{8}\b", r"\b\d{9}\b", r"\b[A-Z0-9]{9}\b", r"\b[A-Z]{1,2}\d{6,7}\b"), guard=r"\d", overlap=True, keep=lambda m: F.length(m).between(6, 9) & m.rlike("[0-9]"), validate=_document),
+        Detector("passport", "passport", 0.85, (r"\b[A-Z]\d{8}\b", r"\b\d{9}\b", r"\b[A-Z0-9]{9}\b", r"\b[A-Z]{1,2}\d{6,7}\b"), guard=r"[A-Z0-9]{6}\d|\d[A-Z0-9]{6}|[A-Z0-9]{9}", overlap=True, keep=lambda m: F.length(m).between(6, 9) & m.rlike("[0-9]"), validate=_document),
         Detector("drivers_license", "drivers_license", 0.8, (r"\b[A-Z]\d{12}\b", r"\b[A-Z]\d{11}\b", r"\b\d{9}\b", r"\b\d{8}\b", r"\b[A-Z]\d{7}\b"), guard=r"\d{7}", overlap=True, keep=_length(7, 13), validate=_document),
         Detector("tax_id_de", "tax_id_de", 0.95, (r"\b[1-9]\d{10}\b",), guard=r"\d{11}", validate=_tax_de),
         Detector("ahv_ch", "ahv_ch", 0.95, (r"\b756(?:\.\d{4}){2}\.\d\d\b", r"\b756(?:\s\d{4}){2}\s\d\d\b", r"\b756\d{10}\b"), guard="756", overlap=False, validate=_ahv),
-        Detector("national_id_de", "national_id_de", 0.9, (rf"(?i)\b[{_IDENTITY}][0-9{_IDENTITY}]{{8}}\d\b",), guard=r"\d", validate=lambda m: verdict((V.weighted_731(m), "check digit"))),
-        Detector("vat_number", "vat_number", 0.95, _vats(), guard=r"\d\d", overlap=False, validate=_vat),
+        Detector("national_id_de", "national_id_de", 0.9, (rf"(?i)\b[{_IDENTITY}][0-9{_IDENTITY}]{{8}}\d\b",), guard=rf"(?i)[0-9{_IDENTITY}]{{9}}\d", validate=lambda m: verdict((V.weighted_731(m), "check digit"))),
+        Detector("vat_number", "vat_number", 0.95, _vats(), guard=rf"(?i)\b(?:{'|'.join(_VAT)})[-.\s]?(?:[0-9A-Z]{{1,2}}\s?)?\d", overlap=False, validate=_vat),
     )
 }
 
@@ -216,6 +224,7 @@ class Registry:
         own = set(categories)
         return Registry({n: d for n, d in self.detectors.items() if d.category in own and n not in self.disabled}) if own else self
 
+    @quick
     def findings(self, text: Column) -> Column:
         """All findings of a text by start. Equal starts are in the order of category and end."""
         if not self.enabled:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import crypto
+from ..functions.building import quick
 from ..schema import MIN_CONFIDENCE
 from .redact import Mask, Redaction, Style
 
@@ -195,6 +196,7 @@ def protected_value(rule: ProtectionRule, f: Column, locale: str | None = None,
     raise ValueError(f"unknown action: {rule.action}")
 
 
+@quick
 def execute(df: DataFrame, policy: Policy, text: str = "content", findings: str = "findings", into: str = "protected", salt: bytes | None = None) -> DataFrame:
     """Filters findings and replaces each by its first rule's value, at its own span; findings without a rule stay.
 

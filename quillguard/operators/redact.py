@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import crypto
+from ..functions.building import quick
 from ..functions.validators import chars
 
 APPLIED = "struct<category:string,orig_start:int,orig_end:int,new_start:int,new_end:int,replacement:string,original_hash:string,original_length:int>"
@@ -115,6 +116,7 @@ def splice(text: Column, kept: Column, config: Redaction) -> Column:
     return F.aggregate(inside, zero, step, lambda a: F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))).alias("text"), a["done"].alias("redactions")))
 
 
+@quick
 def redact(df: DataFrame, config: Redaction | None = None, text: str = "content", findings: str = "findings", into: str = "redacted") -> DataFrame:
     """Adds struct<text, redactions>; null text stays null."""
     kind = df.schema[findings].dataType.simpleString()

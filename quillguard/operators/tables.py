@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.building import quick
+
 HEADER = "struct<name:string,category:string,column_index:int,boost:float,start:int,end:int>"
 DELIMITERS = (",", "\t", "|", ";")
 _GROUPS = {
@@ -50,6 +52,7 @@ def _headers(text: Column, delimiter: str, mappings: dict) -> Column:
     return F.when(ok, F.transform(cells, header).cast(f"array<{HEADER}>"))
 
 
+@quick
 def detect_table(df: DataFrame, text: str = "content", into: str = "table", extra: dict[str, tuple[str, float]] | None = None) -> DataFrame:
     """Adds struct<delimiter,column_count,headers>, null for texts without a table. extra: further headers."""
     mappings = MAPPINGS | {normalize(k): v for k, v in (extra or {}).items()}

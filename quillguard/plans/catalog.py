@@ -29,8 +29,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+#: A table below this size can be one row group, which one task would read.
+SPREAD_BYTES = 256 << 20
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """Small tables are dealt out to all cores; larger ones have row groups enough, and aren't shuffled."""
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SPREAD_BYTES
+    return df.repartition(spark.sparkContext.defaultParallelism) if small else df
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
