@@ -18,7 +18,12 @@ def encode(x: Column, form: str = "hex") -> Column:
     """Binary as lower-case hex or base64."""
     if form not in ("hex", "base64"):
         raise ValueError(f"unknown encoding: {form}")
-    return F.lower(F.hex(x)) if form == "hex" else F.base64(x)
+    return F.lower(F.hex(x)) if form == "hex" else _base64(x)
+
+
+def _base64(x: Column) -> Column:
+    """In one line: some settings break lines."""
+    return F.translate(F.base64(x), "\r\n", "")
 
 
 def decode(x: Column, form: str = "hex") -> Column:
@@ -32,7 +37,7 @@ def digest(data: Column, algorithm: str = "sha256", salt: Key | None = None, for
     if salt is not None:
         raw = F.concat(F.lit(salt) if isinstance(salt, bytes) else salt.cast("binary"), raw)
     hexed = F.sha2(raw, bits)
-    return hexed if form == "hex" else F.base64(F.unhex(hexed))
+    return hexed if form == "hex" else _base64(F.unhex(hexed))
 
 
 def _pads(key: bytes, block: int, bits: int) -> tuple[bytes, bytes]:
@@ -61,7 +66,7 @@ def hmac_sha512(data: Column, key: bytes) -> Column:
 
 def keyed_hash(data: Column, key: bytes, algorithm: str = "sha256", form: str = "hex") -> Column:
     h = _hmac(data, key, 256 if algorithm == "sha256" else 512)
-    return h if form == "hex" else F.base64(F.unhex(h))
+    return h if form == "hex" else _base64(F.unhex(h))
 
 
 def hash_value(data: Column, algorithm: str = "sha256", salt: bytes | None = None, keyed: bool = False, form: str = "hex") -> Column:

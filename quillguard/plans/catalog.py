@@ -373,7 +373,7 @@ def _address_en(spark, d):
     return a.select("k", *[part("c", n) for n in ("street", "city", "state", "postal_code", "country")])
 
 
-@query("address_de", "SELECT o_orderkey AS k, 'Hauptstr. ' || CAST(o_orderkey % 99 + 1 AS VARCHAR) AS street, 'Muenchen' AS city, lpad(CAST(o_orderkey % 100000 AS VARCHAR), 5, '0') AS postal_code, 1.0 AS confidence FROM orders")
+@query("address_de", "SELECT o_orderkey AS k, 'Hauptstr. ' || CAST(o_orderkey % 99 + 1 AS VARCHAR) AS street, 'Muenchen' AS city, lpad(CAST(o_orderkey % 100000 AS VARCHAR), 5, '0') AS postal_code, CAST(1 AS DOUBLE) AS confidence FROM orders")
 def _address_de(spark, d):
     text = F.concat(F.lit("Hauptstr. "), (F.col("o_orderkey") % 99 + 1).cast("string"), F.lit("\r\n"), F.lpad((F.col("o_orderkey") % 100000).cast("string"), 5, "0"), F.lit(" Muenchen\r\nGermany"))
     a = address.detect_addresses(built(spark, d, text), "de").select("k", F.col("addresses")[0].alias("a"))
@@ -389,7 +389,7 @@ def _names(spark, d):
 _DICT = ", ".join(f"('{t}', {f})" for i, c, loc, terms in dictionary.shipped() if c == "first_name" for t, f in terms)
 
 
-@query("dictionary_exact", f"SELECT o_orderkey AS k, t AS term, round(least(1, f * 1.2), 4) AS confidence FROM (SELECT o_orderkey, ['Anna', 'Annna', 'Peter', 'Mueller', 'Zzyzx', 'Berlin'][CAST(o_orderkey % 6 + 1 AS BIGINT)] AS w FROM orders) JOIN (VALUES {_DICT}) AS v(t, f) ON w = t")
+@query("dictionary_exact", f"SELECT o_orderkey AS k, t AS term, CAST(round(least(1, f * 1.2), 4) AS DOUBLE) AS confidence FROM (SELECT o_orderkey, ['Anna', 'Annna', 'Peter', 'Mueller', 'Zzyzx', 'Berlin'][CAST(o_orderkey % 6 + 1 AS BIGINT)] AS w FROM orders) JOIN (VALUES {_DICT}) AS v(t, f) ON w = t")
 def _dict_exact(spark, d):
     c = dictionary.Config(("first_name",)).without_fuzzy()
     return rounded(dictionary.detect_names(_names(spark, d), config=c)).select("k", "term", "confidence")

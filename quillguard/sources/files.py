@@ -36,7 +36,7 @@ def glob_filter(path: Column, include=(), exclude=(), basename: bool = True) ->
 
 
 def read_files(spark: SparkSession, *paths: str, recursive: bool = True, max_depth: int | None = None, include=(), exclude=(), max_size: int | None = None) -> DataFrame:
-    """path, size_bytes, modified, content of files and folders. Filters on path and length reach the reader, which then leaves contents unread."""
+    """path, size_bytes, modified, content of files and folders. Filters on path and length reach the reader, which then leaves contents unread. Empty files give no row. max_depth 1: the files of the folders themselves."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(list(paths))
     df = df.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), "content")
     if max_size is not None:
