@@ -13,20 +13,30 @@ from ..functions.building import quick
 COMPONENT = "struct<type:string,text:string,start:int,end:int>"
 BLOCK = f"struct<format:string,start:int,end:int,full_text:string,confidence:float,components:array<{COMPONENT}>>"
 
-_DE, _FR = "A-Za-zäöüßÄÖÜ", "A-Za-zéèêëàâäùûüôöîïç"
+_DE, _FR = "A-Za-zäöüÄÖÜß", "A-Za-zàâäçéèêëîïôöùûü"
 _dotted = lambda *w: "|".join(x + r"\.?" for x in w)
+
+
+def _run(letters: str, more: int, between: str = r"\s+") -> str:
+    """A word of the letters and so many more at most: bounded, as such patterns backtrack."""
+    word = f"[{letters}]+"
+    return word + f"(?:{between}{word})" + "{0,%d}" % more
+
+
+_NUMBER, _WAYS = r"\b\d" + "{1,5}", "Avenue|Boulevard|Circle|Court|Drive|Lane|Place|Road|Street|Way"
 STREET = {
-    "en": r"(?i)\b\d{1,5}\s+(?:[NSEW]\.?\s+)?[A-Za-z]+(?:\s+[A-Za-z]+){0,5}\s+(?:Street|Avenue|Road|Boulevard|Drive|Lane|Way|Court|Place|Circle|" + _dotted("St", "Ave", "Rd", "Blvd", "Dr", "Ln", "Ct", "Pl", "Cir") + r")\b",
-    "de": rf"(?i)\b[{_DE}]+(?:stra(?:ß|ss)e|str\.?|weg|platz|allee|gasse|ring|damm)\s+\d{{1,5}}[a-z]?\b".replace("stra(?:ß|ss)e", "straße"),
-    "fr": rf"(?i)\b\d{{1,5}}(?:,?\s+(?:bis|ter))?\s+(?:rue|avenue|boulevard|place|allée|impasse|chemin|passage|{_dotted('av', 'bd', 'pl')})\s+[{_FR}]+(?:\s+[{_FR}]+){{0,5}}\b",
+    "en": "(?i)" + _NUMBER + r"\s+(?:[NSEW]\.?\s+)?" + _run("A-Za-z", 5) + rf"\s+(?:{_WAYS}|{_dotted('Ave', 'Blvd', 'Cir', 'Ct', 'Dr', 'Ln', 'Pl', 'Rd', 'St')})\b",
+    "de": rf"(?i)\b[{_DE}]+(?:allee|damm|gasse|platz|ring|straße|str\.?|weg)\s+" + r"\d{1,5}[a-z]?\b",
+    "fr": "(?i)" + _NUMBER + rf"(?:,?\s+(?:bis|ter))?\s+(?:allée|avenue|boulevard|chemin|impasse|passage|place|rue|{_dotted('av', 'bd', 'pl')})\s+" + _run(_FR, 5) + r"\b",
 }
+_FIVE = r"\d" + "{5}"
 #: Groups: what precedes and is each part, so that lengths give offsets.
 TOWN = {
-    "en": (r"(?i)\b([A-Za-z]+(?:\s+[A-Za-z]+){0,4})(,\s*)([A-Z]{2})(\s+)(\d{5}(?:-\d{4})?)\b", ("city", None, "state", None, "postal_code")),
-    "de": (rf"\b(\d{{5}})(\s+)([{_DE}]+(?:\s+[{_DE}]+){{0,4}})\b", ("postal_code", None, "city")),
-    "fr": (rf"\b(\d{{5}})(\s+)([{_FR}]+(?:[- ][{_FR}]+){{0,4}})\b", ("postal_code", None, "city")),
+    "en": (r"(?i)\b(" + _run("A-Za-z", 4) + r")(,\s*)([A-Z]{2})(\s+)(" + _FIVE + r"(?:-\d{4})?)\b", ("city", None, "state", None, "postal_code")),
+    "de": (rf"\b({_FIVE})(\s+)({_run(_DE, 4)})\b", ("postal_code", None, "city")),
+    "fr": (rf"\b({_FIVE})(\s+)({_run(_FR, 4, '[- ]')})\b", ("postal_code", None, "city")),
 }
-_NATIONS = "United States;USA;U.S.A.;Germany;Deutschland;France;United Kingdom;UK;Canada;Australia;Austria;Österreich;Switzerland;Schweiz;Suisse;Netherlands;Belgium;Belgique;Italien;Italy;Spain;España;Spanien;Poland;Polen"
+_NATIONS = "Australia;Austria;Belgique;Belgium;Canada;Deutschland;España;France;Germany;Italien;Italy;Netherlands;Österreich;Poland;Polen;Schweiz;Spain;Spanien;Suisse;Switzerland;U.S.A.;UK;USA;United Kingdom;United States"
 COUNTRY = r"(?i)\b(?:" + "|".join(n.replace(".", r"\.") for n in _NATIONS.split(";")) + r")\b"
 
 

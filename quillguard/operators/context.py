@@ -89,7 +89,7 @@ def builtin_rules(language: str) -> list[Rule]:
             ("phone", "tel", "telephone", "mobile", "cell"), r"\border\s*" + _any("#", "number", "no", "nr"),
             ("street", "st", "avenue", "ave", "road", "rd", "boulevard", "blvd", "lane", "ln", "drive", "dr"), ("address", "addr", "location", "residence"),
             ((r"\b" + _any("sir", "madam", "lord", "lady") + r"\s+", BOOST, 0.25, None), (r"\binternal\s+" + _any("ip", "address"), SUPPRESS, 0.3, "ipv4"),
-             (r"\b" + _any("sku", "product code", "item #"), SUPPRESS, 0.6, "credit_card"), (r"\bisbn[-\s]*(10|13)?", SUPPRESS, 0.8, None)),
+             (r"\b" + _any("sku", "product code", "item #"), SUPPRESS, 0.6, "credit_card"), (r"\bisbn" + r"[\s-]*(13|10)?", SUPPRESS, 0.8, None)),
         )
     if language == "de":
         return _rules(

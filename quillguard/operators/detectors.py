@@ -127,6 +127,11 @@ def _vat(m: Column) -> Verdict:
     return R.let(F.upper(R.alnum_of(m)), judge)
 
 
+def _words(*patterns: str) -> tuple[str, ...]:
+    """Between word boundaries."""
+    return tuple(rf"\b{p}\b" for p in patterns)
+
+
 _SEP = r"[\s.-]"
 
 
@@ -139,13 +144,13 @@ def _phones() -> tuple[str, ...]:
         rf"\+1{o}{three}{o}{three}{o}{four}", rf"1{_SEP}{three}{_SEP}{three}{_SEP}{four}", rf"\({three}\){o}{three}{o}{four}", rf"{three}{_SEP}{three}{_SEP}{four}",
         rf"\+44{o}\d{{2,4}}{o}\d{{3,4}}{o}\d{{3,6}}", rf"07{three}{o}\d{{6}}",
         r"\+33" + o + r"\d" + (o + r"\d{2}") * 4,
-        r"\+[1-9]\d{6,14}", r"0\d{1,4}[/\s-]?\d{4,10}", r"\(0\d{1,4}\)\s?\d{3,10}",
+        rf"\+[1-9]\d{{6,14}}", r"0\d{1,4}[-/\s]?\d{4,10}", rf"\(0\d{{1,4}}\)\s?\d{{3,10}}",
     )
 
 
 #: Country and what follows it (with or without white space); Switzerland's has separators and a suffix.
 _VAT = {
-    "DE": r"\d{9}", "ATU": r"\d{8}", "CHE": None, "FR": r"[0-9A-Z]{2}\s?\d{9}", "IT": r"\d{11}", "ES": r"[A-Z]\d{7}[A-Z0-9]", "NL": r"\d{9}B\d{2}",
+    "DE": r"\d{9}", "ATU": r"\d{8}", "CHE": None, "FR": r"[A-Z0-9]{2}\s?\d{9}", "IT": r"\d{11}", "ES": r"[A-Z]\d{7}[0-9A-Z]", "NL": r"\d{9}B\d{2}",
     "BE": r"[01]\d{9}", "PL": r"\d{10}", "GB": r"\d{9}(?:\d{3})?", "LU": r"\d{8}", "IE": r"\d{7}[A-Z]{1,2}", "PT": r"\d{9}", "EL": r"\d{9}",
     "CZ": r"\d{8,10}", "HU": r"\d{8}", "RO": r"\d{2,10}", "SE": r"\d{12}", "DK": r"\d{8}", "FI": r"\d{8}",
 }
@@ -166,15 +171,15 @@ _IDENTITY = "CFGHJKLMNPRTVWXY"
 DEFAULT: dict[str, Detector] = {
     d.name: d
     for d in (
-        Detector("email", "email", 1.0, (r"[\w.%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",), guard="@", validate=_email),
-        Detector("iban", "iban", 1.0, (r"(?i)\b[A-Z]{2}\s?\d{2}\s?(?:[A-Z0-9]\s?){11,30}\b",), guard=r"[a-zA-Z]{2}\s?\d\d", validate=lambda m: verdict((V.iban(m), "shape or check digits"))),
+        Detector("email", "email", 1.0, (r"[\w.%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",), guard="@", validate=_email),
+        Detector("iban", "iban", 1.0, (r"(?i)\b[A-Z]{2}\s?\d{2}\s?(?:[0-9A-Z]\s?){11,30}\b",), guard=r"[a-zA-Z]{2}\s?\d\d", validate=lambda m: verdict((V.iban(m), "shape or check digits"))),
         Detector("phone", "phone", 0.9, _phones(), guard=r"(?:\d[\s./()+-]{0,15}){7}", overlap=False, keep=lambda m: _n(m) >= 7, validate=lambda m: R.let(_n(m), lambda n: verdict((n.between(7, 15), F.concat(n.cast("string"), F.lit(" digits"))), otherwise=UNVALIDATED)), sort=True),
-        Detector("credit_card", "credit_card", 1.0, (r"\b(?:\d[\s-]?){13,19}\b",), guard=r"(?:\d[\s-]?){13}", keep=lambda m: _n(m).between(13, 19), validate=lambda m: R.let(R.digits_of(m), lambda d: verdict((V.luhn(d), "check digit")))),
-        Detector("ssn", "ssn", 0.95, (r"\b\d{3}-\d\d-\d{4}\b", r"\b\d{3} \d\d \d{4}\b"), guard=r"\d{3}[- ]\d\d[- ]\d{4}", overlap=True, validate=_ssn),
-        Detector("passport", "passport", 0.85, (r"\b[A-Z]\d{8}\b", r"\b\d{9}\b", r"\b[A-Z0-9]{9}\b", r"\b[A-Z]{1,2}\d{6,7}\b"), guard=r"[A-Z0-9]{6}\d|\d[A-Z0-9]{6}|[A-Z0-9]{9}", overlap=True, keep=lambda m: F.length(m).between(6, 9) & m.rlike("[0-9]"), validate=_document),
-        Detector("drivers_license", "drivers_license", 0.8, (r"\b[A-Z]\d{12}\b", r"\b[A-Z]\d{11}\b", r"\b\d{9}\b", r"\b\d{8}\b", r"\b[A-Z]\d{7}\b"), guard=r"\d{7}", overlap=True, keep=_length(7, 13), validate=_document),
-        Detector("tax_id_de", "tax_id_de", 0.95, (r"\b[1-9]\d{10}\b",), guard=r"\d{11}", validate=_tax_de),
-        Detector("ahv_ch", "ahv_ch", 0.95, (r"\b756(?:\.\d{4}){2}\.\d\d\b", r"\b756(?:\s\d{4}){2}\s\d\d\b", r"\b756\d{10}\b"), guard="756", overlap=False, validate=_ahv),
+        Detector("credit_card", "credit_card", 1.0, (r"\b(?:\d[-\s]?){13,19}\b",), guard=r"(?:\d[\s-]?){13}", keep=lambda m: _n(m).between(13, 19), validate=lambda m: R.let(R.digits_of(m), lambda d: verdict((V.luhn(d), "check digit")))),
+        Detector("ssn", "ssn", 0.95, _words(r"\d{3}-\d\d-\d{4}", r"\d{3} \d\d \d{4}"), guard=r"\d{3}[- ]\d\d[- ]\d{4}", overlap=True, validate=_ssn),
+        Detector("passport", "passport", 0.85, _words(r"[A-Z]\d{8}", r"\d{9}", r"[A-Z0-9]{9}", r"[A-Z]{1,2}\d{6,7}"), guard=r"[A-Z0-9]{6}\d|\d[A-Z0-9]{6}|[A-Z0-9]{9}", overlap=True, keep=lambda m: F.length(m).between(6, 9) & m.rlike("[0-9]"), validate=_document),
+        Detector("drivers_license", "drivers_license", 0.8, _words(r"[A-Z]\d{12}", r"[A-Z]\d{11}", r"\d{9}", r"\d{8}", r"[A-Z]\d{7}"), guard=r"\d{7}", overlap=True, keep=_length(7, 13), validate=_document),
+        Detector("tax_id_de", "tax_id_de", 0.95, _words(r"[1-9]\d{10}"), guard=r"\d{11}", validate=_tax_de),
+        Detector("ahv_ch", "ahv_ch", 0.95, _words(r"756(?:\.\d{4}){2}\.\d\d", r"756(?:\s\d{4}){2}\s\d\d", r"756\d{10}"), guard="756", overlap=False, validate=_ahv),
         Detector("national_id_de", "national_id_de", 0.9, (rf"(?i)\b[{_IDENTITY}][0-9{_IDENTITY}]{{8}}\d\b",), guard=rf"(?i)[0-9{_IDENTITY}]{{9}}\d", validate=lambda m: verdict((V.weighted_731(m), "check digit"))),
         Detector("vat_number", "vat_number", 0.95, _vats(), guard=rf"(?i)\b(?:{'|'.join(_VAT)})[-.\s]?(?:[0-9A-Z]{{1,2}}\s?)?\d", overlap=False, validate=_vat),
     )

@@ -82,9 +82,9 @@ def conf_sql(base: float, v: str = "validation") -> str:
     return f"round(CAST(CAST({base} AS FLOAT) * CASE {v} WHEN 'valid' THEN CAST(1 AS FLOAT) WHEN 'invalid' THEN CAST(0.3 AS FLOAT) ELSE CAST(0.8 AS FLOAT) END AS DOUBLE), 4)"
 
 
-CARD = r"\b(?:\d[\s-]?){13,19}\b"
-MAIL = r"[\w.%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
-IBAN = r"(?i)\b[A-Z]{2}\s?\d{2}\s?(?:[A-Z0-9]\s?){11,30}\b"
+CARD = r"\b(?:\d[-\s]?){13,19}\b"
+MAIL = r"[\w.%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+IBAN = r"(?i)\b[A-Z]{2}\s?\d{2}\s?(?:[0-9A-Z]\s?){11,30}\b"
 MAIL_SQL = f"SELECT doc_id, 'email' AS category, s, matched_text, CASE WHEN split_part(matched_text, '@', 2) LIKE '%.%' AND split_part(matched_text, '@', 2) NOT LIKE '.%' AND split_part(matched_text, '@', 2) NOT LIKE '%.' THEN 'valid' ELSE 'invalid' END AS validation FROM {found_sql(MAIL)}"
 CARD_SQL = f"SELECT doc_id, 'credit_card' AS category, s, matched_text, CASE WHEN {luhn_sql('d')} THEN 'valid' ELSE 'invalid' END AS validation FROM (SELECT *, regexp_replace(matched_text, '[^0-9]', '', 'g') AS d FROM {found_sql(CARD, text=MASKED)}) WHERE length(d) BETWEEN 13 AND 19"
 
