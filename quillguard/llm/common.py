@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -43,7 +44,22 @@ def materialize(df: DataFrame, *partitioned: str) -> DataFrame:
     """Cut the lineage: write to the shared folder as Parquet and read that. A lost executor costs no recomputation."""
     path = shared_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def discard(spark: SparkSession, *stored: DataFrame) -> None:
+    """Deletes tables of materialize() that no later step reads, and lets Spark drop the shuffle files of finished steps.
+
+    Spark drops those when the driver's garbage is collected, which can be long after; large steps ask for it.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for df in stored:
+        path = jvm.org.apache.hadoop.fs.Path(df._stored)
+        path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def boxed(docs: DataFrame, *apart: str) -> DataFrame:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, bound_batches, materialize, table
+from .common import WORD, bound_batches, discard, materialize, table
 from .graph import components
 
 SHINGLE = 5
@@ -215,8 +215,10 @@ def classify(docs: DataFrame, threshold: float = SIMILARITY, large: int = LARGE_
     near = _near_length("na", "n", threshold)
     star = materialize(slim.join(heads, "g").where(near & (F.col("rep") != F.col("a"))).select("a", F.col("rep").alias("b")).distinct())
     own = docs.select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("digest"))
-    texts_of = lambda p: _texts(own, classes, p)
-    first = materialize(verify(star, texts_of(star), threshold))
+    discard(docs.sparkSession)
+    texts = _texts(own, classes, star)
+    first = materialize(verify(star, texts, threshold))
+    discard(docs.sparkSession, texts)
     comps = materialize(components(first, "a", "b"))
     # groups that the components leave in pieces
     named = slim.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).select("g", "rep", "n", "c")
@@ -227,8 +229,10 @@ def classify(docs: DataFrame, threshold: float = SIMILARITY, large: int = LARGE_
     left = rest.select("g", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
     cross = left.join(rest, "g").where((F.col("a") < F.col("rep")) & (F.col("ca") != F.col("c")) & near).select("a", F.col("rep").alias("b")).distinct()
     cross = materialize(cross.join(star, ["a", "b"], "left_anti"))
-    second = verify(cross, texts_of(cross), threshold)
-    comps = components(materialize(first.unionByName(second)), "a", "b")
+    texts = _texts(own, classes, cross)
+    links = materialize(first.unionByName(verify(cross, texts, threshold)))
+    discard(docs.sparkSession, texts, cross, pieces)
+    comps = components(links, "a", "b")
     named = classes.select("digest", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
     every = docs.where(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("string").alias("digest")).unionByName(prepared.select("doc_id", "digest"))
     return every.join(named, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, boxed, materialize, table, unboxed
+from .common import bound_batches, boxed, discard, materialize, table, unboxed
 
 LENGTH = 50
 GRAM = 16
@@ -385,12 +385,17 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     texts = slim.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("tid").alias("tid"))
     copies = slim.join(texts.select("digest", F.col("doc_id").alias("first")), "digest").where("doc_id > first")
     keys = materialize(repeated_anchors(docs, buckets, length).distinct().join(texts.select("doc_id", "tid"), "tid"))
+    discard(spark)
     found = materialize(contexts(docs, keys, buckets, length))
+    discard(spark, keys)
     own = materialize(owners(found, length))
+    discard(spark)
     places = found.where(F.col("doc_id").isNotNull()).select("doc_id", "tid", F.explode(F.arrays_zip("c", "start")).alias("x")).select("doc_id", "tid", F.col("x.c").alias("c"), F.col("x.start").alias("start"))
     hits = places.join(own, "c").where("doc_id > m").select("doc_id", "tid", F.struct((F.col("start") + F.col("s")).alias("s"), "n").alias("w"))
     whole = copies.select("doc_id", "tid", F.array(F.struct(F.lit(0).alias("s"), (F.col("size") - (length - 1)).cast("int").alias("n"))).alias("windows"))
-    return materialize(hits.groupBy("doc_id", "tid").agg(F.collect_list("w").alias("windows")).unionByName(whole))
+    out = materialize(hits.groupBy("doc_id", "tid").agg(F.collect_list("w").alias("windows")).unionByName(whole))
+    discard(spark, slim, found, own)
+    return out
 
 
 def spans(windows: list[dict] | None, length: int = LENGTH) -> list[tuple[int, int]]:
