@@ -25,9 +25,9 @@ def _run(letters: str, more: int, between: str = r"\s+") -> str:
 
 _NUMBER, _WAYS = r"\b\d" + "{1,5}", "Avenue|Boulevard|Circle|Court|Drive|Lane|Place|Road|Street|Way"
 STREET = {
-    "en": "(?i)" + _NUMBER + r"\s+(?:[NSEW]\.?\s+)?" + _run("A-Za-z", 5) + rf"\s+(?:{_WAYS}|{_dotted('Ave', 'Blvd', 'Cir', 'Ct', 'Dr', 'Ln', 'Pl', 'Rd', 'St')})\b",
-    "de": rf"(?i)\b[{_DE}]+(?:allee|damm|gasse|platz|ring|straße|str\.?|weg)\s+" + r"\d{1,5}[a-z]?\b",
-    "fr": "(?i)" + _NUMBER + rf"(?:,?\s+(?:bis|ter))?\s+(?:allée|avenue|boulevard|chemin|impasse|passage|place|rue|{_dotted('av', 'bd', 'pl')})\s+" + _run(_FR, 5) + r"\b",
+    "en": "(?i)" + _NUMBER + r"\s+(?:[ENSW][.]?\s+)?" + _run("A-Za-z", 5) + rf"\s+(?:{_WAYS}|{_dotted('Ave', 'Blvd', 'Cir', 'Ct', 'Dr', 'Ln', 'Pl', 'Rd', 'St')})\b",
+    "de": rf"(?i)\b[{_DE}]+(?:allee|damm|gasse|platz|ring|straße|str\.?|weg)\s+" + r"\d" + "{1,5}" + r"[a-z]?\b",
+    "fr": "(?i)" + _NUMBER + rf"(?:,?\s+(?:ter|bis))?\s+(?:allée|avenue|boulevard|chemin|impasse|passage|place|rue|{_dotted('av', 'bd', 'pl')})\s+" + _run(_FR, 5) + r"\b",
 }
 _FIVE = r"\d" + "{5}"
 #: Groups: what precedes and is each part, so that lengths give offsets.

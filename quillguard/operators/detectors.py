@@ -136,7 +136,7 @@ _SEP = r"[\s.-]"
 
 
 def _phones() -> tuple[str, ...]:
-    tail, o = r"\s?[\d\s/-]{7,15}", _SEP + "?"
+    tail, o = r"\s?[-/\d\s]{7,15}", _SEP + "?"
     three, four = r"\d{3}", r"\d{4}"
     dach = "(?:4[139])"
     return (
@@ -176,7 +176,7 @@ DEFAULT: dict[str, Detector] = {
         Detector("phone", "phone", 0.9, _phones(), guard=r"(?:\d[\s./()+-]{0,15}){7}", overlap=False, keep=lambda m: _n(m) >= 7, validate=lambda m: R.let(_n(m), lambda n: verdict((n.between(7, 15), F.concat(n.cast("string"), F.lit(" digits"))), otherwise=UNVALIDATED)), sort=True),
         Detector("credit_card", "credit_card", 1.0, (r"\b(?:\d[-\s]?){13,19}\b",), guard=r"(?:\d[\s-]?){13}", keep=lambda m: _n(m).between(13, 19), validate=lambda m: R.let(R.digits_of(m), lambda d: verdict((V.luhn(d), "check digit")))),
         Detector("ssn", "ssn", 0.95, _words(r"\d{3}-\d\d-\d{4}", r"\d{3} \d\d \d{4}"), guard=r"\d{3}[- ]\d\d[- ]\d{4}", overlap=True, validate=_ssn),
-        Detector("passport", "passport", 0.85, _words(r"[A-Z]\d{8}", r"\d{9}", r"[A-Z0-9]{9}", r"[A-Z]{1,2}\d{6,7}"), guard=r"[A-Z0-9]{6}\d|\d[A-Z0-9]{6}|[A-Z0-9]{9}", overlap=True, keep=lambda m: F.length(m).between(6, 9) & m.rlike("[0-9]"), validate=_document),
+        Detector("passport", "passport", 0.85, _words(r"[A-Z]\d{8}", r"\d{9}", r"[A-Z0-9]{9}", r"[A-Z][A-Z]?\d{6,7}"), guard=r"[A-Z0-9]{6}\d|\d[A-Z0-9]{6}|[A-Z0-9]{9}", overlap=True, keep=lambda m: F.length(m).between(6, 9) & m.rlike("[0-9]"), validate=_document),
         Detector("drivers_license", "drivers_license", 0.8, _words(r"[A-Z]\d{12}", r"[A-Z]\d{11}", r"\d{9}", r"\d{8}", r"[A-Z]\d{7}"), guard=r"\d{7}", overlap=True, keep=_length(7, 13), validate=_document),
         Detector("tax_id_de", "tax_id_de", 0.95, _words(r"[1-9]\d{10}"), guard=r"\d{11}", validate=_tax_de),
         Detector("ahv_ch", "ahv_ch", 0.95, _words(r"756(?:\.\d{4}){2}\.\d\d", r"756(?:\s\d{4}){2}\s\d\d", r"756\d{10}"), guard="756", overlap=False, validate=_ahv),

@@ -48,7 +48,7 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("confidence", F.round(F.col("confidence").cast("double"), 4))
 
 
-# --- SQL that several oracles share ------------------------------------------------------------------------------------
+# SQL that several oracles share.
 
 #: Letters outside ASCII as word characters, which RE2's \b doesn't know.
 MASKED = r"regexp_replace(text, '[^\x00-\x7F]', '_', 'g')"
@@ -110,7 +110,7 @@ detector_query("credit_card", CARD_SQL, 1.0)
 detector_query("iban", IBAN_SQL, 1.0)
 
 
-# --- detectors over strings built from keys ----------------------------------------------------------------------------
+# Detectors over strings built from keys.
 
 
 def built(spark: SparkSession, d: str, made: Column) -> DataFrame:
@@ -223,7 +223,7 @@ def _threshold(spark, d):
     return found.select("k", n(0.8).alias("n_08"), n(0.7).alias("n_07"))
 
 
-# --- redaction ---------------------------------------------------------------------------------------------------------
+# Redaction.
 
 
 @query("redact_label", f"SELECT doc_id, regexp_replace(text, '{MAIL}', '[EMAIL]', 'g') AS redacted FROM documents")
@@ -282,7 +282,7 @@ def _execute(spark, d):
     return policy.execute(found, p).select("doc_id", F.col("protected.text").alias("protected"))
 
 
-# --- crypto, tokens, pseudonyms ----------------------------------------------------------------------------------------
+# Crypto, tokens, pseudonyms.
 
 _SALT, _KEY = b"0123456789abcdef", bytes(range(32))
 
@@ -337,7 +337,7 @@ def _viban(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), V.iban(F.concat(F.lit("DE"), _k(2, 7), _k(16, 7919))).alias("ok"))
 
 
-# --- context, tables, addresses, dictionaries --------------------------------------------------------------------------
+# Context, tables, addresses, dictionaries.
 
 
 @query("context_boost", "SELECT o_orderkey AS k, round(CAST(least(1, CAST(0.72 AS FLOAT) + CAST(0.4 AS FLOAT)) AS DOUBLE), 4) AS boosted, round(CAST(CAST(0.9 AS FLOAT) * CAST(0.8 AS FLOAT) * (CAST(1 AS FLOAT) - CAST(0.8 AS FLOAT)) AS DOUBLE), 4) AS suppressed FROM orders")
@@ -349,7 +349,7 @@ def _context(spark, d):
     return conf("phone: ").withColumnRenamed("c", "boosted").join(conf("ISBN ").withColumnRenamed("c", "suppressed"), "k")
 
 
-@query("context_markers", r"SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)(adresse|anschrift|wohnort)\s*[:]\s*')) + len(regexp_extract_all(text, '(?i)(telefon|tel|mobil|handy)\s*[:]\s*')) AS INTEGER) AS n FROM documents")
+@query("context_markers", r"SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)(?:wohnort|anschrift|adresse)\s*:\s*')) + len(regexp_extract_all(text, '(?i)(?:handy|mobil|telefon|tel)\s*:\s*')) AS INTEGER) AS n FROM documents")
 def _markers(spark, d):
     rules = [r for r in context.builtin_rules("de") if "anschrift" in r.pattern or "handy" in r.pattern]
     return documents(spark, d).select("doc_id", F.size(context.markers(F.col("content"), rules, "de")).cast("int").alias("n"))
@@ -406,7 +406,7 @@ def _dict_documents(spark, d):
     return rounded(dictionary.detect_names(documents(spark, d), config=dictionary.Config.all_categories()))
 
 
-# --- sources, discovery, audit, streams --------------------------------------------------------------------------------
+# Sources, discovery, audit, streams.
 
 
 @query("sniff_format", "SELECT page_id, 'html' AS format, 'UTF-8' AS encoding FROM pages")

