@@ -50,14 +50,14 @@ def docx() -> bytes:
 
 def xlsx() -> bytes:
     book = f'<workbook {S}><sheets><sheet name="One" r:id="r1"/><sheet name="Two" state="hidden" r:id="r2"/></sheets></workbook>'
-    rels = '<Relationships xmlns="x"><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="worksheets/sheet2.xml"/></Relationships>'
+    rels = '<Relationships xmlns="x">' + "".join(f'<Relationship Target="worksheets/sheet{i}.xml" Id="r{i}"/>' for i in (1, 2)) + "</Relationships>"
     one = f'<worksheet {S}><sheetData><row r="2"><c r="B2" t="s"><v>0</v></c><c r="AA2"><v>3.5</v></c><c r="AB2" t="b"><v>1</v></c></row><row r="3"><c r="A3" t="e"><v>#REF!</v></c></row></sheetData></worksheet>'
     two = f'<worksheet {S}><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>x@y.zz</t></is></c></row></sheetData></worksheet>'
     return zipped({"xl/workbook.xml": book, "xl/_rels/workbook.xml.rels": rels, "xl/sharedStrings.xml": f"<sst {S}><si><t>shared</t></si></sst>", "xl/worksheets/sheet1.xml": one, "xl/worksheets/sheet2.xml": two})
 
 
 def pptx() -> bytes:
-    sp = lambda ph, t: f'<p:sp><p:nvSpPr><p:nvPr>{ph}</p:nvPr></p:nvSpPr><p:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p></p:txBody></p:sp>'
+    sp = lambda ph, t: f'<p:sp><p:nvSpPr><p:nvPr>{ph}</p:nvPr></p:nvSpPr><p:txBody>{tag("a:p a:r a:t", t)}</p:txBody></p:sp>'
     slide = f'<p:sld {P}>' + sp('<p:ph type="title"/>', "Title") + sp("", "Body") + "</p:sld>"
     return zipped({"ppt/presentation.xml": "<p/>", "ppt/slides/slide1.xml": slide, "ppt/notesSlides/notesSlide1.xml": f"<p:notes {P}>" + sp("", "Note") + "</p:notes>"})
 
