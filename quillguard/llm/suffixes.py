@@ -12,7 +12,7 @@ A whole suffix array of the corpus would shuffle each byte's suffix several time
    places of its context.
 
 Recursion ends when names cover more than `LENGTH` bytes, as longer prefixes decide nothing here. An anchor with very many
-contexts is split by the windows themselves. Equal contexts are one row a task before they are shuffled.
+contexts, or very long ones, is split by the windows themselves. Equal contexts are one row a task before they are shuffled.
 
 Defined results: null text is empty; texts shorter than `LENGTH` lose nothing; a null doc_id takes no part; rows with the same doc_id lose what
 smaller ones have, not each other's; an empty table gives an empty result; other columns are ignored.
@@ -31,10 +31,13 @@ from .common import bound_batches, boxed, discard, materialize, table, unboxed
 
 LENGTH = 50
 GRAM = 16
-#: Anchors sorted at once in a task of the first step; bytes of a block (its arrays stay in the cache); contexts of one anchor from which on it is split.
+#: Anchors sorted at once in a task of the first step; bytes of a block (its arrays stay in the cache); contexts of one anchor, and their bytes, from which on it is split.
 FLUSH = 3_000_000
 BLOCK = 50_000
 LARGE_ANCHOR = 20_000
+LARGE_BYTES = 2_000_000
+#: What difference_cover packs a symbol or a rank in; BLOCK + LARGE_BYTES stays below.
+_LIMIT = 1 << 21
 _P = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -91,6 +94,8 @@ def difference_cover(s: np.ndarray, cover: int, length: int) -> np.ndarray:
     cover: bytes that a symbol stands for.
     """
     n = len(s)
+    if n >= _LIMIT or n and s.max() >= _LIMIT:
+        raise ValueError(f"{n} symbols up to {s.max()}: both must be below {_LIMIT}")
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
     t = np.concatenate((s.astype(np.uint64), np.zeros(4, np.uint64)))
@@ -310,8 +315,10 @@ def owners(found: DataFrame, length: int) -> DataFrame:
     import pyarrow as pa
 
     rows = found.where(F.col("c0").isNotNull()).select("h", F.col("c0").alias("c"), "context", "doc")
-    counts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("k"))
-    large = materialize(counts.where(F.col("k") > LARGE_ANCHOR).select("h"))
+    counts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.sum(F.length("context")).alias("bytes"))
+    most = counts.where((F.col("k") > LARGE_ANCHOR) | (F.col("bytes") > LARGE_BYTES)).select("h")
+    # one context over and over is settled alone, however long it is
+    large = materialize(rows.join(most, "h", "left_semi").groupBy("h").agg(F.min("c").alias("c"), F.max("c").alias("c2")).where("c < c2").select("h"))
     names = ["c", "s", "n", "m"]
 
     def emit(done):
@@ -366,7 +373,7 @@ def owners(found: DataFrame, length: int) -> DataFrame:
 
     few = rows.join(large, "h", "left_anti").repartition("h").sortWithinPartitions("h", "c")
     normal = few.select("h", "c", "context", "doc").mapInArrow(run, "c long, s int, n int, m long")
-    # one row a window, for the few anchors with very many contexts
+    # one row a window, for the few anchors with very many contexts or very long ones
     split = rows.join(large, "h", "left_semi").groupBy("c").agg(F.first("context").alias("context"), F.min("doc").alias("doc"))
     windows = split.select("c", "doc", "context", F.explode(F.sequence(F.lit(0), F.length("context") - length)).alias("s")).select("c", "s", "doc", F.xxhash64(F.expr(f"substring(context, s + 1, {length})")).alias("w"), F.crc32(F.expr(f"substring(context, s + 1, {length})")).alias("w2"))
     least = windows.groupBy("w", "w2").agg(F.min("doc").alias("m"))

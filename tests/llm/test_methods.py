@@ -256,6 +256,26 @@ def test_suffixes_against_brute_force(spark, monkeypatch):
         assert Counter(tuple(r) for r in suffixes.digest(df).collect()) == want
 
 
+def test_anchor_with_more_bytes_than_a_block(spark):
+    """Few contexts of one anchor, but 4 MB: ranks above 2**21 were packed into the symbol beside them."""
+    rng = random.Random(6)
+    rows, want = [], set()
+    for i in range(3_600):
+        x = bytearray(rng.randbytes(1_100))
+        if i % 2:
+            x[200:300] = rows[-1][2][700:800]
+            x[199], x[300] = rows[-1][2][699] ^ 1, rows[-1][2][800] ^ 1
+            want |= {(i, s, 10_000 + i - 1) for s in range(200, 251)}
+        rows.append((7, i, bytes(x), 10_000 + i))
+    rows += [(8, 5_000, b"a" * 3_000_000, 1), (8, 5_000, b"a" * 3_000_000, 2)]
+    df = spark.createDataFrame(rows, "h long, c0 long, context binary, doc long")
+    got = suffixes.owners(df, 50).where("(m < 10000 or m != 10000 + c)").collect()
+    assert {(r["c"], s, r["m"]) for r in got if r["c"] < 5_000 for s in range(r["s"], r["s"] + r["n"])} == want
+    assert [tuple(r) for r in got if r["c"] == 5_000] == [(5_000, 0, 3_000_000 - 49, 1)]
+    with pytest.raises(ValueError, match="below"):
+        suffixes.difference_cover(np.ones(1 << 21, np.int64), 1, 50)
+
+
 def test_chat_round_trip_and_parts():
     turns = [("system", "a<|end|>b"), ("user", "</s>[INST] ok [/INST] <\\|turn x|> [\\\\INST]"), ("assistant", "<"), (None, "<|turn assistant|>"), ("a|b%", "s>")]
     text, spans, _ = chat.format_chat(turns)
