@@ -3,9 +3,10 @@
 A page is cut into blocks of text. Blocks inside menus, headers, footers, sidebars, notices, adverts, forms, comments and
 hidden parts are marked by their elements. Within each host the pages are ordered by the path of their URL, and each is
 aligned with its neighbours there by the longest common subsequence of lines; lines that they share belong to the site and
-are deleted. Lines inside an article (or main) element are not deleted by that: near copies of an article stand on one
-host, and differencing them would delete the article itself. A page with such an element gives its lines; one without gives what
-neither its elements nor its neighbours mark.
+are deleted. Near copies of an article stand on one host, and differencing them would delete the article itself: a neighbour
+that has at least half of the characters inside a page's article (or main) elements deletes nothing there. A page with such an element
+gives what is left of its lines, and what is left outside only if that is longer than the article, which then is a teaser;
+a page without gives what neither its elements nor its neighbours mark.
 
 Defined results: null or empty html gives the empty text; a null URL has no neighbours; repeated rows: rows with the same
 page_id are not each other's neighbours; an empty table gives an empty result; other columns are ignored.
@@ -153,25 +154,40 @@ def shared(lines: list[str], neighbours: list[list[str]]) -> set[int]:
     return {i for other in neighbours for i in lcs(lines, other)}
 
 
+def own_text(lines: list[str], zones: list[int], neighbours: list[tuple[list[str], list[int]]]) -> str:
+    """What a page's elements and its neighbours leave of it. zones: as blocks() has them, without 2 if there is no article."""
+    inside = {i for i, z in enumerate(zones) if z == 2}
+    article = sum(len(lines[i]) for i in inside)
+    gone: set[int] = set()
+    for other, kinds in neighbours:
+        # a page without an article may be a plain copy of the neighbour's
+        common = shared(lines, [other if inside else [t for t, z in zip(other, kinds) if z != 2]])
+        if 2 * sum(len(lines[i]) for i in common & inside) >= article:
+            common -= inside
+        gone |= common
+    outside = {i for i, z in enumerate(zones) if z == 1} - gone
+    left = inside - gone
+    if not inside or sum(len(lines[i]) for i in outside) > article:
+        left |= outside
+    return "\n".join(lines[i] for i in sorted(left))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages (page_id, url, html)."""
     import pyarrow as pa
 
     bound_batches(pages.sparkSession, 500)
-    line = pa.list_(pa.string())
 
     def parse(batches):
         for b in batches:
-            main, lines, marked = [], [], []
+            lines, zones = [], []
             for h in b.column(2).to_pylist():
                 own, found = blocks(h)
-                main.append("\n".join(t for t, z in own if z == 2) if found else None)
-                rest = [(t, z) for t, z in own if z != 2 or not found]
-                lines.append([t for t, _ in rest])
-                marked.append([not z for _, z in rest])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(main, pa.string()), pa.array(lines, line), pa.array(marked, pa.list_(pa.bool_()))], ["page_id", "url", "main", "lines", "marked"])
+                lines.append([t for t, _ in own])
+                zones.append([z if found else min(z, 1) for _, z in own])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lines, pa.list_(pa.string())), pa.array(zones, pa.list_(pa.int8()))], ["page_id", "url", "lines", "zones"])
 
-    parsed = pages.select("page_id", "url", "html").mapInArrow(parse, "page_id long, url string, main string, lines array<string>, marked array<boolean>")
+    parsed = pages.select("page_id", "url", "html").mapInArrow(parse, "page_id long, url string, lines array<string>, zones array<tinyint>")
     address = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)", 0)
     keyed = parsed.withColumn("host", F.lower(F.regexp_extract(address, r"//([^/?#]*)", 1))).withColumn("path", F.regexp_extract(address, r"//[^/?#]*(.*)$", 1))
     ordered = keyed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
@@ -179,14 +195,11 @@ def extract(pages: DataFrame) -> DataFrame:
     def difference(batches):
         def rows():
             for b in batches:
-                yield from b.select(["page_id", "url", "main", "lines", "marked", "host"]).to_pylist()
+                yield from b.select(["page_id", "url", "lines", "zones", "host"]).to_pylist()
 
         def text(before, row, after):
-            if row["main"] is not None:
-                return row["main"]
-            near = [x["lines"] for x in (before, after) if x and row["host"] and x["host"] == row["host"] and x["page_id"] != row["page_id"]]
-            gone = shared(row["lines"], near)
-            return "\n".join(t for i, (t, m) in enumerate(zip(row["lines"], row["marked"])) if not m and i not in gone)
+            near = [(x["lines"], x["zones"]) for x in (before, after) if x and row["host"] and x["host"] == row["host"] and x["page_id"] != row["page_id"]]
+            return own_text(row["lines"], row["zones"], near)
 
         done: list[tuple] = []
         before = row = None

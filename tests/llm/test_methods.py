@@ -324,6 +324,20 @@ def test_html_pages(spark):
     assert all(f"Head {i}" in got[i] and f"own {i}" in got[i] and "Menu" not in got[i] and "no" not in got[i].split("\n") for i in range(4))
 
 
+def test_html_differences_articles(spark):
+    page = "<main><p>Site line</p><h1>{h}</h1><p>{p}</p></main>"
+    rows = [(i, f"http://h.org/{i}", page.format(h=f"Head {i}", p=f"own text of page {i}")) for i in range(3)]
+    copy = "<article><p>Near copy of a long article</p><p>another line of it</p><p>{}</p></article>"
+    rows += [(i, f"http://c.org/{i}", copy.format(i)) for i in range(3)]
+    rows.append((7, "http://t.org/a", "<article><p>teaser</p></article><div>the body stands outside of it</div>"))
+    df = spark.createDataFrame([(i + 10 * n, u.replace(".org", f"{n}.org"), h) for n in range(2) for i, u, h in [(i + 100 * ("c.org" in u), u, h) for i, u, h in rows]], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df.coalesce(1)).collect()}
+    for n in (0, 10):
+        assert [got[i + n] for i in range(3)] == [f"Head {i}\nown text of page {i}" for i in range(3)]
+        assert [got[100 + i + n] for i in range(3)] == [f"Near copy of a long article\nanother line of it\n{i}" for i in range(3)]
+        assert got[7 + n] == "teaser\nthe body stands outside of it"
+
+
 def test_pipeline_stages(spark):
     docs = table(spark, SF, "documents")
     n = docs.count()
