@@ -1,7 +1,8 @@
 """Names and places by dictionary: exact by an equi-join on normalized words, else fuzzy by trigrams and Jaro-Winkler.
 
 Words are looked up once each, however often they occur: distinct words go through the lookup, and the result joins back.
-A dictionary up to BROADCAST_TERMS terms is sent to the workers; a larger one is joined, exact by its terms and fuzzy by its trigrams.
+A dictionary up to BROADCAST_TERMS terms is sent to the workers; a larger one is joined, exact by its terms and fuzzy by its trigrams, and
+words that share no trigrams with any of its terms are held against all of them in blocks.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from ..data import shipped
 
 BROADCAST_TERMS = 500_000
+#: Words and terms that are compared at once where no trigram leads from one to the other.
+WORD_BLOCK, TERM_BLOCK = 500, 5_000
 WORD = r"[\p{L}\p{M}\p{N}_]+(?:['’.][\p{L}\p{M}\p{N}_]+)*"
 HONORIFIC = r"(?i)(?:herr|frau|hr\.|fr\.|dr\.|prof\.) $"
 LOCALES = ("at", "de", "ch", "generic")
@@ -70,6 +73,33 @@ def can_reach(a: str, b: str, threshold: float) -> bool:
     return (sum(min(a.count(c), b.count(c)) for c in set(a)) * per + 1) / 3 >= need - 1e-12
 
 
+def _shape(words: list[str]):
+    """Of words: length, first four characters (-1 beyond the end), numbers of letters by their code modulo 32."""
+    import numpy as np
+
+    first, letters = np.full((len(words), 4), -1, np.int32), np.zeros((len(words), 32), np.int16)
+    for i, w in enumerate(words):
+        codes = np.fromiter(map(ord, w), np.int32, len(w))
+        first[i, : min(4, len(w))] = codes[:4]
+        letters[i] = np.bincount(codes & 31, minlength=32)
+    return np.array([len(w) for w in words], np.float64), first, letters
+
+
+def similar(words: list[str], terms: list[str], threshold: float) -> list[tuple[int, int, float]]:
+    """All pairs (word, term, similarity) from the threshold on, none of them empty. Letters that fall together in _shape only make the bound of can_reach looser."""
+    import numpy as np
+
+    out = []
+    size, first, letters = _shape(terms)
+    for i, (n, f, c) in enumerate(zip(*_shape(words))):
+        prefix = 0.1 * np.logical_and.accumulate((first == f) & (f >= 0), axis=1).sum(axis=1)
+        bound = (np.minimum(letters, c).sum(axis=1) * (1 / n + 1 / size) + 1) / 3
+        for j in np.flatnonzero(bound >= (threshold - prefix) / (1 - prefix) - 1e-9).tolist():
+            if can_reach(words[i], terms[j], threshold) and (s := jaro_winkler(words[i], terms[j])) >= threshold:
+                out.append((i, j, s))
+    return out
+
+
 def trigrams(word: str) -> set[str]:
     return {word[i : i + 3] for i in range(len(word) - 2)} if len(word) >= 3 else {word} if word else set()
 
@@ -254,7 +284,7 @@ def lookup(words: DataFrame, registry: DictionaryRegistry, config: Config) -> Da
 
 
 def _lookup_joined(words: DataFrame, own: list[Dictionary], config: Config) -> DataFrame:
-    """The same by joins. Words without a candidate in a dictionary are left to their exact match: a full scan of so many terms has no use."""
+    """The same by joins."""
     spark = words.sparkSession
     terms = spark.createDataFrame([(d.id, d.category, d.locale, k, e.term, e.frequency) for d in own for k, e in d.entries.items()], "dictionary_id string, category string, locale string, key string, term string, frequency double")
     norm = F.udf(normalize, "string", useArrow=True)
@@ -268,9 +298,40 @@ def _lookup_joined(words: DataFrame, own: list[Dictionary], config: Config) -> D
     near = g.join(terms.select("*", F.explode(grams(F.col("key"))).alias("gram")), "gram").groupBy("word", "wkey", "n", "key", *rest).count().where("count >= greatest(1, ceil(0.2 * n))")
     jw = F.udf(jaro_winkler, "double", useArrow=True)
     fuzzy = near.withColumn("similarity", jw("wkey", "key")).where(F.col("similarity") >= config.threshold).select("word", *rest, "similarity")
+    fuzzy = fuzzy.unionByName(_lookup_lone(w, near.select("word", "dictionary_id"), exact.select("word", "dictionary_id"), terms, [d.id for d in own if len(d)], config))
     return exact.unionByName(fuzzy.join(exact.select("word", "dictionary_id"), ["word", "dictionary_id"], "left_anti"))
 
 
+def _lookup_lone(w: DataFrame, near: DataFrame, exact: DataFrame, terms: DataFrame, ids: list[str], config: Config) -> DataFrame:
+    """Words (word, key) without a candidate or an exact match in a dictionary against all its terms, in blocks of both."""
+    import pyarrow as pa
+
+    rest = ["dictionary_id", "category", "locale", "term", "frequency"]
+    pairs = w.select("word", F.col("key").alias("wkey"), F.explode(F.array(*map(F.lit, ids))).alias("dictionary_id"))
+    lone = pairs.join(near.unionByName(exact), ["word", "dictionary_id"], "left_anti").where("wkey != ''")
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.greatest(F.lit(1), F.ceil(F.col("_n") / n)).cast("int")).alias("_b")
+
+    def blocks(df, key, size, column, *columns):
+        counts = df.groupBy("dictionary_id").agg(F.count(F.lit(1)).alias("_n"))
+        return df.join(F.broadcast(counts), "dictionary_id").groupBy("dictionary_id", of(key, size)).agg(F.collect_list(F.struct(*columns)).alias(column))
+
+    some = blocks(lone, "word", WORD_BLOCK, "words", "word", "wkey").withColumnRenamed("_b", "_w")
+    against = blocks(terms, "key", TERM_BLOCK, "terms", "key", *rest)
+    many = against.select("dictionary_id", "_b").distinct()
+    # blocks of words go to each block of terms
+    sent = some.join(F.broadcast(many), "dictionary_id").join(against, ["dictionary_id", "_b"]).select("words", "terms")
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for ws, ts in ((x.as_py(), y.as_py()) for x, y in zip(*b.columns)):  # one pair of blocks at a time
+                for i, j, s in similar([x["wkey"] for x in ws], [t["key"] for t in ts], config.threshold):
+                    rows.append((ws[i]["word"], *[ts[j][c] for c in rest], s))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i < 5 else pa.float64()) for i in range(7)], ["word", *rest, "similarity"])
+
+    return sent.mapInArrow(run, "word string, dictionary_id string, category string, locale string, term string, frequency double, similarity double")
+
+
 def detect_names(segments: DataFrame, registry: DictionaryRegistry | None = None, config: Config | None = None, text: str = "content") -> DataFrame:
     """One row a match, with the segment's other columns. In each segment matches don't overlap: by start, surer first."""
     registry, config = registry or builtin_registry(), config or Config()

@@ -1,6 +1,7 @@
 """Every registered query of the engine against its SQL, and contexts, addresses, tables and dictionaries by example."""
 
 import math
+import random
 
 import duckdb
 import pytest
@@ -109,3 +110,22 @@ def test_dictionaries(spark, monkeypatch):
     loose = dictionary.Config(require_word_boundaries=False)
     assert "Anna" in [r["matched_text"] for r in dictionary.detect_names(spark.createDataFrame([("xAnnax",)], "content string"), config=loose).collect()]
     assert dictionary.Config.names_only().categories == ("first_name", "last_name")
+
+
+def test_fuzzy_without_candidates(spark, monkeypatch):
+    """Words that share no trigram with a dictionary's terms, on both sides of the switch."""
+    rng = random.Random(1)
+    terms = ["john", "Ann", "Zoë", "Straße", "bo"] + ["".join(rng.choice("aeiklmn") for _ in range(rng.randrange(2, 7))) for _ in range(80)]
+    registry = dictionary.DictionaryRegistry(*[dictionary.Dictionary(f"d{k}", "first_name", "de", map(dictionary.Entry, terms[k::3])) for k in range(3)])
+    words = ["jon", "ANN", "Zoé", "Straxse", "b", "xq", "jhon"] + ["".join(rng.choice("aeiklmn") for _ in range(rng.randrange(1, 7))) for _ in range(150)]
+    df = spark.createDataFrame([(w,) for w in sorted(set(words))], "word string")
+    found = lambda: sorted((r["word"], r["dictionary_id"], r["term"], round(r["similarity"], 9)) for r in dictionary.lookup(df, registry, dictionary.Config(("first_name",))).collect())
+    sent = found()
+    lone = {(r[0], r[1]) for r in sent if r[3] < 1 and not registry.get(r[1]).candidates(dictionary.normalize(r[0]))}
+    assert ("jon", "d0") in lone and len(lone) > 10
+    monkeypatch.setattr(dictionary, "BROADCAST_TERMS", 1)
+    monkeypatch.setattr(dictionary, "WORD_BLOCK", 7, raising=False)
+    monkeypatch.setattr(dictionary, "TERM_BLOCK", 9, raising=False)
+    assert found() == sent
+    own = [dictionary.normalize(x) for x in {*terms, *words}]
+    assert {(i, j) for i, j, _ in dictionary.similar(own, own, 0.8)} == {(i, j) for i, a in enumerate(own) for j, b in enumerate(own) if dictionary.jaro_winkler(a, b) >= 0.8}
