@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -178,39 +179,54 @@ def extract(pages: DataFrame) -> DataFrame:
 
     bound_batches(pages.sparkSession, 500)
 
+    address = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)", 0)
+    place = (F.lower(F.regexp_extract(address, r"//([^/?#]*)", 1)).alias("host"), F.regexp_extract(address, r"//[^/?#]*(.*)$", 1).alias("path"))
+    # ranges by their first and last keys, one row a range; only URLs are read for that
+    key = F.struct("host", "path", "page_id")
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as Spark would join ranges of so few bytes
+    ranged = pages.select(*place, "page_id").repartitionByRange(n, "host", "path", "page_id")
+    ends = ranged.groupBy(F.spark_partition_id().alias("part")).agg(F.min(key).alias("lo"), F.max(key).alias("hi")).select("lo.*", *[F.col(f"hi.{c}").alias(f"{c}2") for c in ("host", "path", "page_id")]).collect()
+    order = lambda host, path, page_id: (host, path, page_id is not None, page_id or 0)
+    los, his = (sorted(order(*r[i : i + 3]) for r in ends) for i in (0, 3))
+
     def parse(batches):
         for b in batches:
-            lines, zones = [], []
-            for h in b.column(2).to_pylist():
+            rows = [[] for _ in range(8)]
+            for page_id, url, h, host, path in zip(*(c.to_pylist() for c in b.columns)):
+                k = order(host, path, page_id)
+                part = bisect_right(los, k) - 1
                 own, found = blocks(h)
-                lines.append([t for t, _ in own])
-                zones.append([z if found else min(z, 1) for _, z in own])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lines, pa.list_(pa.string())), pa.array(zones, pa.list_(pa.int8()))], ["page_id", "url", "lines", "zones"])
-
-    parsed = pages.select("page_id", "url", "html").mapInArrow(parse, "page_id long, url string, lines array<string>, zones array<tinyint>")
-    address = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)", 0)
-    keyed = parsed.withColumn("host", F.lower(F.regexp_extract(address, r"//([^/?#]*)", 1))).withColumn("path", F.regexp_extract(address, r"//[^/?#]*(.*)$", 1))
-    ordered = keyed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+                lines, zones = [t for t, _ in own], [z if found else min(z, 1) for _, z in own]
+                # a range's first and last page go to the ranges beside it too
+                beside = [part - 1] * (k == los[part] and part > 0) + [part + 1] * (k == his[part] and part + 1 < len(los))
+                for to in [part, *beside]:
+                    for column, x in zip(rows, (page_id, url, lines, zones, host, path, to, to != part)):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(rows, kinds)], ["page_id", "url", "lines", "zones", "host", "path", "part", "beside"])
+
+    kinds = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int8()), pa.string(), pa.string(), pa.int32(), pa.bool_()]
+    parsed = pages.select("page_id", "url", "html", *place).mapInArrow(parse, "page_id long, url string, lines array<string>, zones array<tinyint>, host string, path string, part int, beside boolean")
+    ordered = parsed.repartitionById(max(1, len(los)), "part").sortWithinPartitions("part", "host", "path", "page_id")
 
     def difference(batches):
         def rows():
             for b in batches:
-                yield from b.select(["page_id", "url", "lines", "zones", "host"]).to_pylist()
+                yield from b.select(["page_id", "url", "lines", "zones", "host", "part", "beside"]).to_pylist()
 
         def text(before, row, after):
-            near = [(x["lines"], x["zones"]) for x in (before, after) if x and row["host"] and x["host"] == row["host"] and x["page_id"] != row["page_id"]]
+            near = [(x["lines"], x["zones"]) for x in (before, after) if x and x["part"] == row["part"] and row["host"] and x["host"] == row["host"] and x["page_id"] != row["page_id"]]
             return own_text(row["lines"], row["zones"], near)
 
         done: list[tuple] = []
         before = row = None
         for after in rows():
-            if row is not None:
+            if row is not None and not row["beside"]:
                 done.append((row["page_id"], row["url"], text(before, row, after)))
             before, row = row, after
             if len(done) >= 500:
                 yield _out(pa, done)
                 done = []
-        if row is not None:
+        if row is not None and not row["beside"]:
             done.append((row["page_id"], row["url"], text(before, row, None)))
         if done:
             yield _out(pa, done)

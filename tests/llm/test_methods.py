@@ -338,6 +338,21 @@ def test_html_differences_articles(spark):
         assert got[7 + n] == "teaser\nthe body stands outside of it"
 
 
+def test_html_does_not_depend_on_partitions(spark):
+    rows = [(i, f"http://h.org/{i % 7}/{i:03}", f"<div>Site line</div><p>own {i}</p>") for i in range(60)] + [(100 + i, f"http://h{i:02}.org/", f"<div>Other</div><p>own {i}</p>") for i in range(5)] + [(None, None, "<p>x</p>"), (3, "http://h.org/3/003", "<p>again</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    kept, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # it would join such small ranges
+    try:
+        for n in (1, 4, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(sorted((r["page_id"] or -1, r["text"]) for r in html.extract(df).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows) and (5, "own 5") in got[0] and (104, "Other\nown 4") in got[0]
+
+
 def test_pipeline_stages(spark):
     docs = table(spark, SF, "documents")
     n = docs.count()
