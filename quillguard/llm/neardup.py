@@ -8,8 +8,8 @@ alignment is a longest common subsequence within the band of diagonals that the
 
 Equal texts are one class before anything else. In each group of equal sketches all are held against the smallest document
 of the group; where the components so far leave a group in pieces, all pairs of different pieces are compared. A large
-group in pieces is first split by a second agreeing sketch. So no link between candidates is lost, and no group is
-written out as all its pairs.
+group in pieces is first split by a second agreeing sketch, so there a pair with one equal sketch only, that nothing else links, is
+lost; in other groups no link between candidates is. No large group is written out as all its pairs.
 
 Defined results: null, empty and wordless texts are alone; a text of fewer than five words has one shingle, the whole text; equal
 documents and repeated rows are one class; class_id is the smallest doc_id of the class, kept tells whether a row is that
