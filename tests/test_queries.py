@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import duckdb
 import pytest
@@ -129,3 +130,28 @@ def test_fuzzy_without_candidates(spark, monkeypatch):
     assert found() == sent
     own = [dictionary.normalize(x) for x in {*terms, *words}]
     assert {(i, j) for i, j, _ in dictionary.similar(own, own, 0.8)} == {(i, j) for i, a in enumerate(own) for j, b in enumerate(own) if dictionary.jaro_winkler(a, b) >= 0.8}
+
+
+def test_names_against_brute_force(spark):
+    texts = ["Herr Peter und Annna trafen Frau Muller in Berlin", "markuss, Petra; Schmitt aus Hamburgg", "nothing here", "Sarrah Xq Wienn Jon Dr. Weber"]
+    config, registry = dictionary.Config.all_categories(), dictionary.builtin_registry()
+    want = set()
+    for k, text in enumerate(texts):
+        for m in re.finditer(r"\w+", text):
+            key, found = dictionary.normalize(m[0]), []
+            own = {key[i : i + 3] for i in range(max(1, len(key) - 2))}
+            for d in registry.by_id.values():
+                if not config.enables(d):
+                    continue
+                near = {t for t in d.entries if len(own & {t[i : i + 3] for i in range(max(1, len(t) - 2))}) >= max(1, -(-len(own) // 5))}
+                for t in [key] if key in d.entries else near or d.entries:
+                    if (s := dictionary.jaro_winkler(key, t)) >= 0.85:
+                        bonus = 1 + 0.15 * bool(re.search(r"(?i)(?:herr|frau|hr\.|fr\.|dr\.|prof\.) $", text[: m.start()])) + 0.05 * m[0][0].isupper()
+                        e = d.entries[t]
+                        found.append((-round(min(1.0, e.frequency * s * bonus), 5), d.id, e.term))
+            if found and min(found)[0] <= -0.5:
+                want.add((k, m.start(), m[0], *min(found)[1:], -round(min(found)[0], 3)))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    got = {(r["id"], r["start"], r["matched_text"], r["dictionary_id"], r["term"], round(r["confidence"], 3)) for r in dictionary.detect_names(df, registry, config).collect()}
+    assert len(want) > 5 and {x[:5] for x in got} == {x[:5] for x in want}
+    assert all(abs(a[5] - abs(b[5])) < 0.002 for a, b in zip(sorted(got), sorted(want)))
