@@ -35,7 +35,10 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.t.get_added_tokens_decoder().values()
+        self.added = tuple(a.content.lower() for a in added)
+        #: Such tokens match normalized texts, of which pieces tell nothing.
+        self.whole = any(a.normalized for a in added)
         self.pieces, self.folds = pieces, pieces is WORD_PIECES
         self.kept: dict[str, bytes] = {}
         self.refused = 0
@@ -65,7 +68,7 @@ class CachedEncoder:
     def _some(self, texts: list[str]) -> list[bytes]:
         kept, out, late, lack = self.kept, [], [], set()
         for i, text in enumerate(texts):
-            if any(c in text for c in _ODD):
+            if self._apart(text):
                 out.append(self.direct([text])[0])
                 continue
             parts = self.pieces.findall(text)
@@ -82,12 +85,18 @@ class CachedEncoder:
                 out[i] = b"".join([own[p] if x is None else x for p, x in zip(parts, ids)])
         return out
 
+    def _apart(self, text: str) -> bool:
+        if self.whole or any(c in text for c in _ODD):
+            return True
+        low = text.lower()  # as pieces are looked up in lower case
+        return any(a in low for a in self.added)
+
     def _missing(self, parts: set[str]) -> dict[str, bytes]:
         kept, own, marked, folded = self.kept, {}, [], []
         new: set[str] = set()
         for p in parts:
-            # a letter or digit and the mark that ends a piece are always cut; case is dropped by one of the two kinds
-            if len(p) > 2 and p[-1] in ".,!?" and p[-2].isalnum():
+            # a letter or digit and the mark that ends a piece are always cut (but the lower case of İ ends with a mark); case is dropped by one of the two kinds
+            if len(p) > 2 and p[-1] in ".,!?" and p[-2] < "\u0250" and p[-2] != "İ" and p[-2].isalnum():
                 marked.append(p)
                 p = p[:-1]
             q = p.lower() if self.folds and p.isascii() else p
@@ -116,7 +125,7 @@ class CachedEncoder:
     def _joined(self, new: set[str]) -> dict[str, bytes]:
         """Encodes pieces in one string, and tells from the ids where each ends; other pieces one by one."""
         if self.folds:  # letters alone are one word, and its last id has the word's end
-            easy = [p for p in new if p.isalpha() and max(p) < "\u0250"]
+            easy = [p for p in new if p.isalpha() and max(p) < "\u0250" and len(p.lower()) == len(p)]
             text = " ".join(easy)
         else:  # a space and no other white space: its bytes are those of its ids
             easy = [p for p in new if p[0] == " " and len(p) > 1 and not p[1].isspace()]
@@ -130,13 +139,12 @@ class CachedEncoder:
                 ends = np.flatnonzero(self.sizes[ids]) + 1
             else:
                 ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(p.encode()) for p in easy])) + 1
-            if len(ends) != len(easy) or ends[-1] != len(ids):
-                raise ValueError("pieces and ids don't match")
-            raw, at = ids.tobytes(), 0
-            for p, e in zip(easy, (ends * 4).tolist()):
-                out[p] = raw[at:e]
-                at = e
-            new = new.difference(easy)
+            if len(ends) == len(easy) and ends[-1] == len(ids):  # else one by one, as the others
+                raw, at = ids.tobytes(), 0
+                for p, e in zip(easy, (ends * 4).tolist()):
+                    out[p] = raw[at:e]
+                    at = e
+                new = new.difference(easy)
         if new:
             rest = [*new]
             out.update(zip(rest, self.direct(rest)))

@@ -146,14 +146,39 @@ def test_vectors_against_all_pairs(spark, tile):
     assert got == {int(i): (int(n), int(c)) for i, n, c in zip(ids, link.sum(1), comp)} and link.any()
 
 
-def test_encoders_equal_the_tokenizer(texts):
+def plain(name):
+    """The library itself, untouched: text -> the bytes of its ids."""
     import public_tokenizers
+    from tokenizers import Tokenizer
 
-    odd = ["", "  a  b ", "\n\n x\t", "don't 's 'S", "é ́a ﬀ", "x<|endoftext|>y", "a\x1cb", "Σας ΣΑΣ İ", "THE The the.", "½ ² 1. a,b ,.", " x　y"]
-    for name, pieces in (("byte_bpe_50k.json", encoding.BYTE_PIECES), ("word_bpe_49k.json", encoding.WORD_PIECES)):
-        e = encoding.CachedEncoder(public_tokenizers.path(name), pieces)
-        all_ = [*texts.values(), *odd]
-        assert e.encode_many(all_) == e.direct(all_) == e.encode_many(all_)
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    return lambda text: np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+POOLS = ["abcdefghij", "ABCDEFG", "éèüöäßÀÉ", "İıŞşĞğ", "ΑΒΓΣσςάέ", "ŁłŻżŉǰǅǆ", "\u0301\u0300\u0307\u0308", "0123²½٣", "一二三漢", "кирЯЙ", "ﬀﬁ", "𝒳🙂👩‍👧", "'s't're", "  \t\n\r\x0b\x0c\xa0\u2003\u3000\u180e\u200b\x85", "\x1c\x1d\x00\x07", ".,!?;:-_<>|[]/", "KÅΩẞ"]
+WHOLE = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|startofText|>", "İstanbul", "don't", "I'LL", "x.", "A1.", "é."]
+
+
+def fuzzed(rng):
+    out = []
+    for _ in range(rng.randrange(1, 30)):
+        pool = rng.choice(POOLS if rng.random() < 0.6 else POOLS[:6])
+        out.append(rng.choice(WHOLE) if rng.random() < 0.05 else "".join(rng.choice(pool) for _ in range(rng.randrange(1, 6))))
+        out.append(" " * (rng.random() < 0.5))
+    return "".join(out)
+
+
+@pytest.mark.parametrize("name, pieces", [("byte_bpe_50k.json", encoding.BYTE_PIECES), ("word_bpe_49k.json", encoding.WORD_PIECES)])
+def test_encoders_equal_the_library(texts, name, pieces):
+    import public_tokenizers
+
+    rng = random.Random(1)
+    odd = ["", "  a  b ", "\n\n x\t", "don't 's 'S", "é ́a ﬀ", "x<|endoftext|>y", "a\x1cb", "Σας ΣΑΣ İ", "THE The the.", "½ ² 1. a,b ,.", " x　y", "Bir iki üç dört beş altı yedi sekiz dokuz İstanbul ve Ankara arasında"]
+    e, own = encoding.CachedEncoder(public_tokenizers.path(name), pieces), plain(name)
+    all_ = [*texts.values(), *odd, *(fuzzed(rng) for _ in range(10_000))]
+    want = [*map(own, all_)]
+    assert e.encode_many(all_) == want == e.encode_many(all_)
+    assert [e.encode(t) for t in odd] == [*map(own, odd)]
 
 
 def test_records_round_trip_and_damage(spark, tmp_path, texts):
@@ -176,13 +201,10 @@ def test_records_round_trip_and_damage(spark, tmp_path, texts):
 
 
 def test_record_query(spark, texts):
-    import public_tokenizers
-
-    e = encoding.CachedEncoder(public_tokenizers.path("byte_bpe_50k.json"), encoding.BYTE_PIECES)
-    start = 0
+    own, start = plain("byte_bpe_50k.json"), 0
     got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in queries.QUERIES["op5_records"](spark, SF).collect()}
     for i in sorted(texts):
-        ids = e.direct([texts[i]])[0] + (2).to_bytes(4, "little")
+        ids = own(texts[i]) + (2).to_bytes(4, "little")
         assert got[i] == (start, len(ids) // 4, zlib.crc32(ids))
         start += len(ids) // 4
 
@@ -201,8 +223,8 @@ def test_fill_is_the_closest():
 
 def test_packing_is_exact_and_tight(spark, texts):
     rows = queries.QUERIES["op6_packing"](spark, SF).collect()
-    enc = packing.default_encoder()()
-    ids = {i: enc([t])[0] + (1).to_bytes(4, "little") for i, t in texts.items()}
+    own = plain("word_bpe_49k.json")
+    ids = {i: own(t) + (1).to_bytes(4, "little") for i, t in texts.items()}
     seen = Counter()
     for r in rows:
         x = ids[r["doc_id"]]
