@@ -31,10 +31,12 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under the one that the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset, as in local tests, one under the local temporary folder is made.
+    Only where that is unset and all tasks run on this machine, as in tests, one under the local temporary folder is made.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = getattr(shared_dir, "_own", None) or "file://" + tempfile.mkdtemp(prefix="quillguard-")
         shared_dir._own = root
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -49,17 +51,33 @@ def materialize(df: DataFrame, *partitioned: str) -> DataFrame:
     return out
 
 
+def drop(*stored: DataFrame) -> None:
+    """Deletes tables of materialize() that no later step reads."""
+    for df in stored:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._stored)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(spark: SparkSession, *stored: DataFrame) -> None:
-    """Deletes tables of materialize() that no later step reads, and lets Spark drop the shuffle files of finished steps.
+    """drop(), and lets Spark drop the shuffle files of finished steps.
 
     Spark drops those when the driver's garbage is collected, which can be long after; large steps ask for it.
     """
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for df in stored:
-        path = jvm.org.apache.hadoop.fs.Path(df._stored)
-        path.getFileSystem(conf).delete(path, True)
+    drop(*stored)
     gc.collect()
-    jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
+
+
+def spread(rows: DataFrame, table: DataFrame, key: str, other: str, per_task: int) -> DataFrame:
+    """rows joined with table (one row a key), where one key may be that of very many rows.
+
+    Rows of a key with more than per_task of them are cut by a hash of the column `other`, and its row of the table is repeated for each part.
+    """
+    hot = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(per_task)).cast("int").alias("_parts")).where("_parts > 1")
+    left = rows.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(F.col(other)), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    right = table.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return left.join(right, [key, "_part"]).drop("_part")
 
 
 def boxed(docs: DataFrame, *apart: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop, materialize
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -22,7 +22,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         near = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(near, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        e = materialize(small.where("u != v").distinct())
+        old, e = e, materialize(small.where("u != v").distinct())
+        drop(old)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             break

@@ -82,24 +82,79 @@ def test_mix_meets_budgets_and_reruns(spark):
     assert words == sum(r["taken"] for r in a)
 
 
+def lcs_length(a, b):
+    """By the table of all prefixes, a row at a time."""
+    prev, b = np.zeros(len(b) + 1, int), np.array(b)
+    for x in a:
+        prev[1:] = np.maximum.accumulate(np.maximum(prev[1:], prev[:-1] + (b == x)))
+    return int(prev[-1])
+
+
+def similar_pairs(texts, threshold=0.8):
+    """All pairs of different texts, by alignment of words."""
+    import re
+
+    number: dict = {}
+    words = {i: [number.setdefault(w, len(number)) for w in re.findall(r"[^\x20\x09-\x0D]+", t)] for i, t in texts.items()}
+    bags = {i: Counter(w) for i, w in words.items()}
+    order, out = sorted((i for i in words if words[i]), key=lambda i: len(words[i])), []
+    for k, i in enumerate(order):
+        for j in order[k + 1 :]:
+            n, m = len(words[i]), len(words[j])
+            if n < threshold * m:
+                break
+            need = threshold / (1 + threshold) * (n + m)
+            if texts[i] != texts[j] and (bags[i] & bags[j]).total() >= need - 1e-9 and (k := lcs_length(words[i], words[j])) / (n + m - k) >= threshold:
+                out.append((i, j))
+    return out
+
+
 def test_near_duplicates_against_all_pairs(spark, texts):
-    s = {i: neardup.shingles(t) for i, t in texts.items()}
-    root = {i: i for i in s}
+    pairs = similar_pairs(texts)
+    root = {i: i for i in texts}
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    ids = sorted(s)
-    for k, i in enumerate(ids):
-        for j in ids[k + 1 :]:
-            if neardup.similarity(s[i], s[j]) >= 0.8:
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    for large in (64, 1):
-        got = {r["doc_id"]: r["class_id"] for r in neardup.classify(table(spark, SF, "documents"), large=large).collect()}
-        assert got == {i: find(i) for i in ids}
+    same: dict = {}
+    for i, t in texts.items():
+        if t.strip():
+            pairs.append((i, same.setdefault(t, i)))
+    for i, j in pairs:
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+    for small in (32, 1):
+        got = {r["doc_id"]: r["class_id"] for r in neardup.classify(table(spark, SF, "documents"), small=small).collect()}
+        assert got == {i: find(i) for i in texts}
+
+
+def test_near_duplicates_recall(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] or "" for r in table(spark, sf, "documents").select("doc_id", "text").collect()}
+    pairs = similar_pairs(texts)
+    got = {r["doc_id"]: r["class_id"] for r in queries.QUERIES["op3_neardup"](spark, sf).collect()}
+    found = [got[i] == got[j] for i, j in pairs]
+    assert len(found) > 80 and np.mean(found) >= 0.97
+    # nothing is linked but through such pairs and equal texts
+    linked = {i for p in pairs for i in p} | {i for i, t in texts.items() if list(texts.values()).count(t) > 1}
+    assert all(i in linked for i, c in got.items() if c != i)
+
+
+def test_large_groups_lose_no_pair(spark):
+    """A shared passage puts many texts into groups of equal sketches; those with a near copy must find it there."""
+    rng = random.Random(7)
+    passage = [f"p{rng.randrange(10**6)}" for _ in range(60)]
+    rows = []
+    for i in range(120):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+        rows.append((i, " ".join(passage + own)))
+        own[20] = "other"
+        rows.append((1000 + i, " ".join(passage + own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classify(df, small=8).collect()}
+    assert got == {i: i % 1000 for i, _ in rows}
 
 
 def test_alignment_is_a_longest_common_subsequence():
@@ -116,13 +171,32 @@ def test_alignment_is_a_longest_common_subsequence():
 
 
 def test_sketches_follow_order():
+    import pyarrow as pa
+
     rng = random.Random(2)
     words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
-    s = neardup.shingles(" ".join(words))
-    swapped = np.concatenate((s[200:], s[:200]))
-    near = neardup.shingles(" ".join([*words[:100], "other", *words[101:]]))
-    same = lambda x, y: (neardup.sketches(x, 64) == neardup.sketches(y, 64)).mean()
-    assert same(s, near) > 0.85 and same(s, swapped) < 0.7
+    swapped, near = [*words[200:], *words[:200]], [*words[:100], "other", *words[101:]]
+    w, n = neardup.word_hashes(pa.array([" ".join(x).encode() for x in (words, swapped, near)], pa.binary()))
+    x, y, z = neardup.sketches(*neardup.shingles(w, n), 64)
+    assert (x == z).mean() > 0.85 and (x == y).mean() < 0.7
+
+
+def test_word_hashes_are_those_of_the_words():
+    import re
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = [None, "", " ", "a", "x" * 200_000, "x" * 70_000 + " y " + "x" * 70_000, "é\xa0ü  z\x0bq\x1cw", "a " * 100_000, ("w" * 9_000 + " ") * 20, "\n".join(f"q{i % 50}" for i in range(50_000))]
+    texts += ["".join(rng.choice("ab \té") for _ in range(rng.randrange(20))) for _ in range(300)]
+    rng.shuffle(texts)
+    column = pa.array([None if t is None else t.encode() for t in texts], pa.binary())
+    for own, ts in ((column, texts), (column.slice(17, 40), texts[17:57])):
+        got, n = neardup.word_hashes(own)
+        words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in ts]
+        assert n.tolist() == [*map(len, words)]
+        pairs = {*zip([w for x in words for w in x], got.tolist())}
+        assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
 
 
 @pytest.mark.parametrize("tile", [7, 512])
