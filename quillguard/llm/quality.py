@@ -1,9 +1,13 @@
 """Quality rules and line labelling with a linear-chain conditional random field.
 
 The lines of a text that hold a word are a chain; each is content or boilerplate. The field has weights for features of a
-line (length, shares of symbols, capitals, digits and marks, repetition, its end) and for pairs of neighbouring labels. It is
-trained by maximum likelihood (forward-backward) on a bounded sample of the documents of `labels`, whose lines carry their
-document's quality. Viterbi decoding labels the lines of every text; the share of its characters in content lines decides.
+line (length, shares of symbols, capitals, digits and marks, repetition, its end) and for pairs of neighbouring labels.
+
+It is trained by maximum likelihood (forward-backward) on a bounded sample of the documents of `labels`. A document's quality says
+little about a single line, so lines have weak labels: lines of good documents are content unless they repeat; lines of bad documents are
+boilerplate if they show it themselves (symbols, capitals, repetition, stutter, menu-like shortness); all others stay open, and the likelihood sums
+over their labels. Chains are spliced from runs of lines of good and bad documents, so labels change within them. Viterbi
+decoding labels the lines of every text; the share of its characters in content lines decides.
 
 The sample: about `max_docs` labelled documents by a hash of their ids (a documented bound), whole texts.
 
@@ -187,38 +191,78 @@ class Field:
 DEFAULT = Field(np.array([2.0, 1, -1, -2, -4, -2, -0.5, 0, 0.5, -2, 0, 0], np.float32), np.array([[0.5, -0.5], [-0.5, 0.5]], np.float32))
 
 
-def train(chains: list[tuple[np.ndarray, int]], steps: int = 150, ridge: float = 1e-3, segment: int = 48) -> Field:
-    """chains: features of the lines and the label of all of them. Adam on the likelihood, over padded segments."""
-    if len({y for _, y in chains}) < 2:
+def weak_labels(x: np.ndarray, quality: int) -> np.ndarray:
+    """Of each line of a document: 1 content, 0 boilerplate, -1 open."""
+    if quality:
+        return np.where(x[:, 9] > 0, -1, 1)
+    shows = (x[:, 3] > 0.1) | (x[:, 4] > 0.5) | (x[:, 9] > 0) | (x[:, 10] > 0.3) | ((x[:, 2] > 0) & (x[:, 8] == 0))
+    return np.where(shows, 0, -1)
+
+
+def splice(docs: list[tuple[np.ndarray, int]], longest: int = 16, runs: int = 6) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Chains of `runs` runs, in turn of good and bad documents: features and weak labels. Runs of the fewer ones come again."""
+    rng = np.random.default_rng(5)
+    kinds: tuple[list, list] = [], []
+    for x, q in docs:
+        y, at = weak_labels(x, q), 0
+        while at < len(x):
+            n = int(rng.integers(1, longest + 1))
+            kinds[q].append((x[at : at + n], y[at : at + n]))
+            at += n
+    if not (kinds[0] and kinds[1]):
+        return []
+    n = max(map(len, kinds))
+    order = [[k[i % len(k)] for i in rng.permutation(-(-n // len(k)) * len(k))[:n]] for k in kinds]
+    mixed = [r for pair in zip(*order) for r in pair]
+    return [tuple(np.concatenate(z) for z in zip(*mixed[i + i // runs % 2 : i + i // runs % 2 + runs])) for i in range(0, len(mixed) - 1, runs)]
+
+
+def _marginals(e: np.ndarray, t: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each line: the chance of content; of each two neighbours: the chances of their labels. e: scores of the labels, on: lines that exist."""
+    n, long, _ = e.shape
+    t = np.exp(t - t.max())
+    # the labels apart, places first: each step is on whole rows
+    e = np.ascontiguousarray(np.exp(e - e.max(2, keepdims=True)).transpose(2, 1, 0))
+    on = np.ascontiguousarray(on.T)
+    f, b = np.empty((2, long, n)), np.ones((2, long, n))
+    f[:, 0] = e[:, 0] / (e[0, 0] + e[1, 0])
+    for i in range(1, long):  # scaled to a sum of 1 each time
+        x, y = f[:, i - 1]
+        u, v = (x * t[0, 0] + y * t[1, 0]) * e[0, i], (x * t[0, 1] + y * t[1, 1]) * e[1, i]
+        z = u + v
+        f[0, i], f[1, i] = np.where(on[i], u / z, x), np.where(on[i], v / z, y)
+    for i in range(long - 2, -1, -1):
+        x, y = b[:, i + 1] * e[:, i + 1]
+        u, v = x * t[0, 0] + y * t[0, 1], x * t[1, 0] + y * t[1, 1]
+        z = u + v
+        b[0, i], b[1, i] = np.where(on[i + 1], u / z, 1), np.where(on[i + 1], v / z, 1)
+    x, y = f * b
+    one = (y / (x + y) * on).T
+    b *= e
+    pair = np.stack([[f[j, :-1] * t[j, k] * b[k, 1:] for k in (0, 1)] for j in (0, 1)])
+    pair = (pair * (on[1:] / pair.sum((0, 1)))).transpose(3, 2, 0, 1)
+    return one, pair
+
+
+def train(chains: list[tuple[np.ndarray, np.ndarray]], steps: int = 150, ridge: float = 1e-3) -> Field:
+    """chains: features of the lines and their labels, -1 where open. Adam on the likelihood of the labels that are known."""
+    if len({int(v) for _, y in chains for v in np.unique(y)} & {0, 1}) < 2:
         return DEFAULT
-    parts = [(x[i : i + segment], y) for x, y in chains for i in range(0, len(x), segment)]
-    n, long = len(parts), max(len(x) for x, _ in parts)
-    x = np.zeros((n, long, len(FEATURES)), np.float32)
-    on = np.zeros((n, long), bool)
-    for i, (p, _) in enumerate(parts):
-        x[i, : len(p)] = p
+    n, long = len(chains), max(len(x) for x, _ in chains)
+    x = np.concatenate([p for p, _ in chains]).astype(np.float64)
+    on, barred, e = np.zeros((n, long), bool), np.zeros((n, long, 2)), np.zeros((n, long, 2))
+    for i, (p, y) in enumerate(chains):
         on[i, : len(p)] = True
-    y = np.array([y for _, y in parts])
-    # both qualities weigh the same
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+        for k in (0, 1):
+            barred[i, : len(p), k][y == 1 - k] = -1e4
+    size = len(x)
     w, t = np.zeros(len(FEATURES)), np.zeros((2, 2))
     m1, m2 = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
     for step in range(1, steps + 1):
-        e = np.stack([np.zeros((n, long)), x @ w], -1)
-        f, b = np.zeros((n, long, 2)), np.zeros((n, long, 2))
-        f[:, 0] = e[:, 0]
-        for i in range(1, long):
-            f[:, i] = np.where(on[:, i, None], np.logaddexp(f[:, i - 1, :1] + t[0], f[:, i - 1, 1:] + t[1]) + e[:, i], f[:, i - 1])
-        for i in range(long - 2, -1, -1):
-            z = b[:, i + 1] + e[:, i + 1]
-            b[:, i] = np.where(on[:, i + 1, None], np.logaddexp(t[:, 0] + z[:, :1], t[:, 1] + z[:, 1:]), 0)
-        logz = np.logaddexp(f[:, -1, 0], f[:, -1, 1])
-        p1 = np.exp(f[:, :, 1] + b[:, :, 1] - logz[:, None]) * on
-        gw = np.einsum("ni,nif,n->f", on * y[:, None] - p1, x, weight)
-        pair = np.exp(f[:, :-1, :, None] + t + (b[:, 1:] + e[:, 1:])[:, :, None, :] - logz[:, None, None, None]) * on[:, 1:, None, None]
-        gt = -np.einsum("niab,n->ab", pair, weight)
-        for k in (0, 1):
-            gt[k, k] += (on[:, 1:].sum(1) * weight)[y == k].sum()
+        e[on, 1] = x @ w
+        free, known = _marginals(e, t, on), _marginals(e + barred, t, on)
+        gw = (known[0] - free[0])[on] @ x / size
+        gt = (known[1] - free[1]).sum((0, 1)) / size
         g = np.concatenate([gw - ridge * w, (gt - ridge * t).ravel()])
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         d = 0.15 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
@@ -246,8 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Field:
             yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["quality", "x"])
 
     got = docs.select("doc_id", "text").join(sample, "doc_id").select("quality", "text").mapInArrow(run, "quality int, x binary").collect()  # bounded by the sample
-    chains = [(np.frombuffer(r["x"], np.float32).reshape(-1, len(FEATURES)), r["quality"]) for r in sorted(got, key=lambda r: (r["quality"], bytes(r["x"])))]
-    return train(chains)
+    return train(splice([(np.frombuffer(r["x"], np.float32).reshape(-1, len(FEATURES)), r["quality"]) for r in sorted(got, key=lambda r: (r["quality"], bytes(r["x"])))]))
 
 
 def judge(docs: DataFrame, field: Field, min_content: float = MIN_CONTENT) -> DataFrame:

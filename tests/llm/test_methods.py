@@ -46,6 +46,73 @@ def test_viterbi_is_the_best_path():
         assert score(f.decode(x)) == pytest.approx(best, abs=1e-4)
 
 
+def test_marginals_are_sums_over_paths():
+    from itertools import product
+
+    rng = np.random.default_rng(1)
+    e, t, on = rng.normal(size=(3, 5, 2)), rng.normal(size=(2, 2)), np.arange(5)[None] < np.array([5, 3, 1])[:, None]
+    e[0, 2, 1] -= 1e4  # a known label
+    one, pair = quality._marginals(e, t, on)
+    for k, n in enumerate(on.sum(1)):
+        paths = [*product((0, 1), repeat=int(n))]
+        p = np.exp([sum(e[k, i, y[i]] for i in range(n)) + sum(t[a, b] for a, b in zip(y, y[1:])) for y in paths])
+        p /= p.sum()
+        assert one[k, :n] == pytest.approx(np.array(paths).T @ p, abs=1e-9) and not one[k, n:].any() and not pair[k, n - 1 :].any()
+        for i in range(n - 1):
+            want = np.zeros((2, 2))
+            for y, v in zip(paths, p):
+                want[y[i], y[i + 1]] += v
+            assert pair[k, i] == pytest.approx(want, abs=1e-9)
+
+
+def test_lines_of_mixed_documents(spark):
+    """Runs of lines of good and of bad documents in one text: the field follows the changes."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    field, kinds = quality.fit(docs, labels), ([], [])
+    for r in docs.join(labels, "doc_id").orderBy("doc_id").select("text", "quality").collect():
+        lines = [x for x in (r["text"] or "").split("\n") if len(x.split()) > 3]
+        kinds[r["quality"]].extend([x for x in lines if r["quality"] or sum(c in "#*$%&|<>!" for c in x) > len(x.split()) / 2])
+    rng, right, shares = random.Random(8), [], []
+    for _ in range(60):
+        lines, want = [], []
+        for k in range(6):
+            n = rng.randrange(3, 9)
+            lines += rng.sample(kinds[k % 2], n)
+            want += [k % 2] * n
+        m = quality.measure("\n".join(dict.fromkeys(lines)))
+        if len(m.x) == len(want):
+            right += (field.decode(m.x) == np.array(want, bool)).tolist()
+            shares.append(field.share(m))
+    assert len(shares) > 10 and np.mean(right) > 0.95 and all(0 < s < 1 for s in shares)
+    assert field.t[0, 0] + field.t[1, 1] > field.t[0, 1] + field.t[1, 0]
+
+
+def test_quality_query_against_brute_force(spark):
+    """The whole query: base rules from their definition, labels by all paths' best score, a line at a time."""
+    docs = table(spark, SF, "documents")
+    field = quality.fit(docs, table(spark, SF, "labels"))
+    got = {r["doc_id"]: r for r in queries.QUERIES["op1_quality"](spark, SF).collect()}
+    both = 0
+    for r in docs.select("doc_id", "text").collect():
+        words = [w for w in (r["text"] or "").replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if w]
+        seen = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+        repeated = {i + j for i in range(len(words) - 7) if seen[tuple(words[i : i + 8])] > 1 for j in range(8)}
+        failed = len(words) < 20 or 100 * len(repeated) > 30 * len(words)
+        m, share = quality.measure(r["text"]), 0.0
+        if m.x is not None:
+            best = {k: (float(m.x[0] @ field.w) * k, [k]) for k in (0, 1)}
+            for x in m.x[1:]:
+                best = {k: max(((v + float(field.t[j, k]) + float(x @ field.w) * k, [*y, k]) for j, (v, y) in best.items()), key=lambda z: z[0]) for k in (0, 1)}
+            labels = max(best.values(), key=lambda z: z[0])[1]
+            share = sum(c for c, k in zip(m.chars, labels) if k) / m.chars.sum()
+        g = got.pop(r["doc_id"])
+        assert (g["n_words"], g["n_repeat_words"], g["base_failed"]) == (len(words), len(repeated), failed)
+        assert g["content_share"] == pytest.approx(share, abs=1e-6) and g["kept"] == (not failed and share >= quality.MIN_CONTENT)
+        both += 0 < share < 1
+    assert not got and both
+
+
 def test_quality_agrees_with_labels(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.QUERIES["op1_quality"](spark, sf).join(table(spark, sf, "labels"), "doc_id").collect()
