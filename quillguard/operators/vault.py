@@ -1,4 +1,8 @@
-"""Reversible tokens: a vault is a keyed table of token and original, in memory, as Parquet, or as Parquet with encrypted originals."""
+"""Reversible tokens: a vault is a keyed table of token and original, in memory, as Parquet, or as Parquet with encrypted originals.
+
+A consistent token is made of a keyed hash of its original, under a secret that is drawn for each vault object and never stored: as hard to guess as
+a random one, and the same again if a lost executor's part is computed anew. Other tokens are random and settled (written) before anything uses them.
+"""
 
 from __future__ import annotations
 
@@ -10,28 +14,38 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import crypto
+from ..sources import storage
 
 SCHEMA = "token string, original string"
-FORMS = {"uuid": lambda: F.uuid(), "hex16": lambda: F.substring(F.replace(F.uuid(), F.lit("-")), 1, 16), "hex32": lambda: F.replace(F.uuid(), F.lit("-")), "alnum16": lambda: F.substring(F.translate(F.base64(F.unhex(F.concat(F.replace(F.uuid(), F.lit("-")), F.replace(F.uuid(), F.lit("-"))))), "+/=", ""), 1, 16)}
+
+
+def _uuid(x: Column) -> Column:
+    return F.regexp_replace(F.substring(x, 1, 32), "^(.{8})(.{4}).(.{3}).(.{3})(.{12})$", "$1-$2-4$3-a$4-$5")
+
+
+#: Tokens made of 64 hexadecimal digits.
+FORMS = {
+    "uuid": _uuid, "hex16": lambda x: F.substring(x, 1, 16), "hex32": lambda x: F.substring(x, 1, 32),
+    "alnum16": lambda x: F.substring(F.translate(F.base64(F.unhex(x)), "+/=", ""), 1, 16),
+}
 
 
 class Vault:
     """In memory: a DataFrame. Subclasses keep it in files."""
 
     def __init__(self, spark: SparkSession):
-        self.spark = spark
+        self.spark, self.secret = spark, os.urandom(32)
         self.table = spark.createDataFrame([], SCHEMA)
 
     def read(self) -> DataFrame:
         return self.table
 
     def append(self, rows: DataFrame) -> None:
-        self.table = self.table.unionByName(rows.select("token", "original")).cache()
-        self.table.count()  # tokens are drawn once
+        self.table = storage.settled(self.table.unionByName(rows.select("token", "original")))
 
     def replace(self, rows: DataFrame) -> None:
         self.table = rows.select("token", "original")
@@ -63,21 +77,25 @@ class FileVault(Vault):
     def __init__(self, spark: SparkSession, path: str, allow_plaintext: bool | None = None):
         if not (self._encrypted() or (allow_plaintext if allow_plaintext is not None else _plaintext_allowed())):
             raise PermissionError("plain originals aren't to be stored; allow it or use EncryptedVault")
-        self.spark, self.path = spark, path.rstrip("/")
-        Path(self.path).mkdir(parents=True, exist_ok=True)
+        self.spark, self.path, self.secret = spark, path.rstrip("/"), os.urandom(32)
+        storage.make_folder(spark, self.path)
 
     def _encrypted(self) -> bool:
         return False
 
+    def _pointer(self) -> dict:
+        """What the one file says that is replaced in one step: the folder of the rows and, in an encrypted vault, their wrapped key."""
+        p = f"{self.path}/CURRENT"
+        return json.loads(storage.read_text(self.spark, p)) if storage.exists(self.spark, p) else {"data": "data"}
+
     def _current(self) -> str:
-        p = Path(self.path, "CURRENT")
-        return f"{self.path}/{p.read_text()}" if p.exists() else f"{self.path}/data"
+        return f"{self.path}/{self._pointer()['data']}"
 
     def _raw(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(SCHEMA).parquet(self._current())
-        except Exception:
+        """No folder yet is an empty vault; one that can't be read is an error."""
+        if not storage.exists(self.spark, self._current()):
             return self.spark.createDataFrame([], SCHEMA)
+        return self.spark.read.schema(SCHEMA).parquet(self._current())
 
     def read(self) -> DataFrame:
         return self._raw()
@@ -88,9 +106,10 @@ class FileVault(Vault):
     def replace(self, rows: DataFrame) -> None:
         name = f"data-{uuid.uuid4().hex}"
         self._seal(rows.select("token", "original")).write.parquet(f"{self.path}/{name}")
-        temp = Path(self.path, ".CURRENT")
-        temp.write_text(name)
-        temp.replace(Path(self.path, "CURRENT"))
+        self._point(self._pointer() | {"data": name})
+
+    def _point(self, to: dict) -> None:
+        storage.write_text(self.spark, f"{self.path}/CURRENT", json.dumps(to))
 
     def clear(self) -> None:
         self.replace(self.spark.createDataFrame([], SCHEMA))
@@ -104,13 +123,12 @@ class EncryptedVault(FileVault):
 
     def __init__(self, spark: SparkSession, path: str, key: bytes):
         super().__init__(spark, path)
-        self.key = key
-        p = Path(self.path, "KEY")
-        if p.exists():
-            self.data_key = self._unwrap(p.read_text(), key)
+        self.key, to = key, self._pointer()
+        if "key" in to:
+            self.data_key = self._unwrap(to["key"], key)
         else:
             self.data_key = crypto.generate_key()
-            self._wrap(key)
+            self._point(to | {"key": self._wrapped(key)})
 
     def _encrypted(self) -> bool:
         return True
@@ -121,9 +139,8 @@ class EncryptedVault(FileVault):
             raise ValueError("the key doesn't open this vault")
         return bytes(row["k"])
 
-    def _wrap(self, key: bytes) -> None:
-        text = self.spark.range(1).select(crypto.encrypt(F.lit(self.data_key), key).alias("k")).first()["k"]
-        Path(self.path, "KEY").write_text(text)
+    def _wrapped(self, key: bytes) -> str:
+        return self.spark.range(1).select(crypto.encrypt(F.lit(self.data_key), key).alias("k")).first()["k"]
 
     def _seal(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("original", crypto.encrypt(F.col("original"), self.data_key))
@@ -132,23 +149,29 @@ class EncryptedVault(FileVault):
         return self._raw().withColumn("original", crypto.decrypt(F.col("original"), self.data_key))
 
     def rotate_key(self, key: bytes) -> None:
-        rows = self.read().cache()
-        rows.count()
+        """Rows under a new data key are written first; rows and wrapped key then change in one step, so a crash leaves the old vault or the new."""
+        rows, old = self.read(), self.data_key
         self.data_key = crypto.generate_key()
-        self.replace(rows)
-        self._wrap(key)
+        try:
+            name = f"data-{uuid.uuid4().hex}"
+            self._seal(rows.select("token", "original")).write.parquet(f"{self.path}/{name}")
+            self._point({"data": name, "key": self._wrapped(key)})
+        except BaseException:
+            self.data_key = old
+            raise
         self.key = key
-        rows.unpersist()
 
 
 def tokenize(df: DataFrame, column: str, vault: Vault, form: str = "uuid", prefix: str = "tok_", consistent: bool = True, into: str = "token") -> DataFrame:
     """Adds a token for each value; null stays null. Consistent: one token a value, over all columns and calls."""
-    token = F.concat(F.lit(prefix), FORMS[form]())
+    made = lambda x: F.concat(F.lit(prefix), FORMS[form](x))
     if not consistent:
-        own = df.withColumn(into, F.when(F.col(column).isNotNull(), token)).cache()
+        drawn = made(F.sha2(F.concat(F.lit(vault.secret), F.uuid().cast("binary")), 256))
+        own = storage.settled(df.withColumn(into, F.when(F.col(column).isNotNull(), drawn)))
         vault.append(own.where(F.col(into).isNotNull()).select(F.col(into).alias("token"), F.col(column).alias("original")))
         return own
     originals = df.where(F.col(column).isNotNull()).select(F.col(column).alias("original")).distinct()
+    token = made(crypto.hmac_sha256(F.col("original"), vault.secret))
     vault.append(originals.join(vault.read(), "original", "left_anti").withColumn("token", token))
     known = vault.read().groupBy("original").agg(F.min("token").alias(into))
     return df.join(known, df[column] == known["original"], "left").select(*[df[c] for c in df.columns if c != into], known[into])

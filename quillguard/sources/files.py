@@ -91,6 +91,38 @@ def parse_files(spark: SparkSession, *paths: str, **options) -> DataFrame:
     return parsed(sniffed(read_files(spark, *paths, **options)))
 
 
+# Large text and CSV files, read by Spark itself: a file is many splits, none of which is held as one value.
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds row: the place of each row in its file, from 1. Splits of a file are numbered apart, then moved by the rows of those before."""
+    from pyspark.sql import Window
+
+    own = rows.withColumn("_in", F.row_number().over(Window.partitionBy("path", "_block").orderBy("_id")))
+    counts = own.groupBy("path", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return own.join(before, ["path", "_block"]).withColumn("row", (F.col("_in") + F.col("_before")).cast("long")).drop("_in", "_before", "_block", "_id")
+
+
+
+def _placed(df: DataFrame, *columns) -> DataFrame:
+    return df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), *columns)
+
+
+def text_stream(spark: SparkSession, *paths: str) -> DataFrame:
+    """path, line, content of large UTF-8 text files, one row a line."""
+    return _numbered(_placed(spark.read.text(list(paths)), F.regexp_replace("value", "\r$", "").alias("content"))).select("path", F.col("row").alias("line"), "content")
+
+
+def csv_stream(spark: SparkSession, *paths: str, delimiter: str = ",", has_headers: bool = True) -> DataFrame:
+    """path, row, column, header, content of large CSV files with rows of one line, one row a cell. Rows from 2 if there are headers; missing cells are empty ones."""
+    df = spark.read.csv(list(paths), sep=delimiter, header=has_headers, quote='"', escape='"')
+    cells = F.array(*[F.struct(F.lit(c if has_headers else None).cast("string").alias("header"), F.coalesce(F.col(f"`{c}`"), F.lit("")).alias("content")) for c in df.columns])
+    rows = _numbered(_placed(df, cells.alias("cells")))
+    one = rows.select("path", (F.col("row") + int(has_headers)).alias("row"), F.posexplode("cells").alias("column", "c"))
+    return one.select("path", "row", "column", "c.header", "c.content")
+
+
 def _starts(lengths: Column) -> Column:
     @F.udf("array<int>", useArrow=True)
     def run(ns):
@@ -133,6 +165,9 @@ def archive_entries(files: DataFrame, max_depth: int = 5, password: bytes | None
 
     @F.udf(kind, useArrow=True)
     def entries(path, content):
+        import zipfile
+        import zlib
+
         from quillguard.sources import parsers as P
 
         out = []
@@ -149,8 +184,8 @@ def archive_entries(files: DataFrame, max_depth: int = 5, password: bytes | None
                 name = f"{prefix}!/{i.filename}"
                 try:
                     data = z.read(i, pwd=password)
-                except (RuntimeError, NotImplementedError) as e:
-                    out.append((name, i.file_size, None, str(e)))
+                except (RuntimeError, NotImplementedError, EOFError, zipfile.BadZipFile, zlib.error) as e:  # of this entry alone
+                    out.append((name, i.file_size, None, f"{type(e).__name__}: {e}"))
                     continue
                 if data[:4] == b"PK\x03\x04" and not any(p in data for p in (b"word/document.xml", b"xl/workbook.xml", b"ppt/presentation.xml")):
                     if depth < max_depth:

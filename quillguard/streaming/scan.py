@@ -51,32 +51,50 @@ def run_batches(df: DataFrame, each, checkpoint: str | None = None) -> Streaming
     return (w.option("checkpointLocation", checkpoint) if checkpoint else w).start()
 
 
-def split_at(buffer: str) -> int:
-    """Where a buffer is cut: after its last white space, else at its end if it is small, else at three quarters."""
-    for i in range(len(buffer) - 1, -1, -1):
-        if buffer[i].isspace():
-            return i + 1
-    return len(buffer) if len(buffer) < SMALL else len(buffer) * 3 // 4
+_BLANKS = (b"\n", b"\r", b" ", b"\t")
 
 
-def chunk_texts(chunks: Iterator[bytes], max_buffer: int = MAX_BUFFER) -> Iterator[tuple[int, str, str | None]]:
-    """(byte offset, text, error) of chunks of one stream: what follows the cut waits for the next chunk. Bad UTF-8 is an error event."""
-    held, at = "", 0
-    for c in chunks:
+def split_at(held: bytes) -> int:
+    """Where bytes are cut: after the last white space, else at the end if they are few, else at three quarters; not inside a character."""
+    at = max(held.rfind(c) for c in _BLANKS) + 1
+    if at:
+        return at
+    at = len(held) if len(held) < SMALL else len(held) * 3 // 4
+    # a character that has begun in the last three bytes and isn't whole stays for the next chunk
+    for back in range(1, min(4, at) + 1):
+        c = held[at - back]
+        if c & 0xC0 != 0x80:
+            need = 4 if c >= 0xF0 else 3 if c >= 0xE0 else 2 if c >= 0xC0 else 1
+            return at - back if need > back else at
+    return at
+
+
+def carry(held: bytes, at: int, chunk: bytes | None, max_buffer: int = MAX_BUFFER) -> tuple[list[tuple[int, str | None, str | None]], bytes, int]:
+    """(byte offset, text, error) that one more chunk settles, and the bytes and the offset that wait. A chunk of None ends the stream.
+
+    Bytes are joined before they are cut and decoded, so a character may lie in two chunks. Bad UTF-8 is an error event; the bytes of the event
+    are left out, and offsets go on behind them. More than max_buffer bytes that must wait are an OverflowError.
+    """
+    held += chunk or b""
+    cut = split_at(held) if chunk is not None else len(held)
+    if len(held) - cut > max_buffer:
+        raise OverflowError(f"more than {max_buffer} bytes without a place to cut")
+    out: list[tuple[int, str | None, str | None]] = []
+    if cut:
         try:
-            held += c.decode()
+            out.append((at, held[:cut].decode(), None))
         except UnicodeDecodeError as e:
-            yield at + len(held.encode()), "", f"invalid UTF-8: {e.reason}"
-            continue
-        if len(held.encode()) > max_buffer:
-            raise OverflowError(f"more than {max_buffer} bytes without a place to cut")
-        cut = split_at(held)
-        if cut:
-            yield at, held[:cut], None
-            at += len(held[:cut].encode())
-            held = held[cut:]
-    if held:
-        yield at, held, None
+            out.append((at, None, f"invalid UTF-8: {e.reason}"))
+    return out, held[cut:], at + cut
+
+
+def chunk_texts(chunks: Iterator[bytes], max_buffer: int = MAX_BUFFER) -> Iterator[tuple[int, str | None, str | None]]:
+    """carry() over all chunks of one stream."""
+    held, at = b"", 0
+    for c in chunks:
+        out, held, at = carry(held, at, c, max_buffer)
+        yield from out
+    yield from carry(held, at, None, max_buffer)[0]
 
 
 def scan_chunks(stream: DataFrame, key: str = "stream_id", data: str = "chunk", order: str = "seq", max_buffer: int = MAX_BUFFER) -> DataFrame:
@@ -89,29 +107,16 @@ def scan_chunks(stream: DataFrame, key: str = "stream_id", data: str = "chunk",
     def step(k, frames, state):
         import pandas as pd
 
-        held, at = state.get if state.exists else ("", 0)
+        held, at = state.get if state.exists else (b"", 0)
         out = []
-        rows = pd.concat(frames).sort_values(order)
-        for c in rows[data]:
-            if c is None:
-                if held:
-                    out.append((k[0], at, held, None))
-                    at, held = at + len(held.encode()), ""
-                continue
+        for c in pd.concat(frames).sort_values(order)[data]:
             try:
-                held += bytes(c).decode()
-            except UnicodeDecodeError as e:
-                out.append((k[0], at + len(held.encode()), None, f"invalid UTF-8: {e.reason}"))
-                continue
-            if len(held.encode()) > max_buffer:
-                out.append((k[0], at, None, f"more than {max_buffer} bytes without a place to cut"))
-                at, held = at + len(held.encode()), ""
-                continue
-            cut = split_at(held)
-            if cut:
-                out.append((k[0], at, held[:cut], None))
-                at, held = at + len(held[:cut].encode()), held[cut:]
+                done, held, at = carry(bytes(held), at, None if c is None else bytes(c), max_buffer)
+            except OverflowError as e:  # what waits is given up, the stream goes on
+                size = len(held) + len(c)
+                done, held, at = [(at, None, str(e))], b"", at + size
+            out += [(k[0], *x) for x in done]
         state.update((held, at))
         yield pd.DataFrame(out, columns=[key, "byte_offset", "content", "error"])
 
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} string, byte_offset long, content string, error string", "held string, at long", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(key).applyInPandasWithState(step, f"{key} string, byte_offset long, content string, error string", "held binary, at long", "append", GroupStateTimeout.NoTimeout)

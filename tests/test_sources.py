@@ -180,20 +180,52 @@ def test_streams(spark, tmp_path):
     stream.run_batches(s, lambda b, i: seen.append(b.count())).awaitTermination()
     assert sum(seen) == 3
     parts = list(stream.chunk_texts(iter([b"hello wor", b"ld x@y", b".zz and", b"\xff", b" end"])))
-    assert "".join(t for _, t, e in parts if not e) == "hello world x@y.zz and end" and [t for _, t, _ in parts][:2] == ["hello ", "world "] and sum(bool(e) for *_, e in parts) == 1
+    # the bad byte takes the white space behind it along, not the word before
+    assert [t for _, t, _ in parts] == ["hello ", "world ", "x@y.zz ", "and", None, "end"] and [at for at, *_ in parts] == [0, 6, 12, 19, 22, 24]
+    # a character in two chunks is no bad one
+    assert list(stream.chunk_texts(iter([b"mail x@y.de caf\xc3", b"\xa9 a@b.de ", b"\xf0\x9f", b"\x99\x82"]))) == [(0, "mail x@y.de ", None), (12, "café a@b.de ", None), (25, "🙂", None)]
+    whole = "héllo wörld ünd 🙂 " * 40
+    for n in (1, 2, 3, 7, 64):
+        assert "".join(t for _, t, _ in stream.chunk_texts(whole.encode()[i : i + n] for i in range(0, len(whole.encode()), n))) == whole
     with pytest.raises(OverflowError):
-        list(stream.chunk_texts(iter([b"x" * 100]), max_buffer=50))
-    assert stream.split_at("ab") == 2 and stream.split_at("x" * 200) == 150
+        list(stream.chunk_texts(iter([b"x" * 1000]), max_buffer=50))
+    assert stream.split_at(b"ab") == 2 and stream.split_at(b"x" * 200) == 150 and stream.split_at(b"ab\xc3") == 2 and stream.split_at(b"") == 0
 
 
 def test_chunks_with_state(spark, tmp_path):
-    rows = [("s", 1, b"mail a@"), ("s", 2, b"b.de and"), ("s", 3, None), ("t", 1, b"\xff")]
+    rows = [("s", 1, b"mail a@"), ("s", 2, b"b.de caf\xc3"), ("s", 3, b"\xa9"), ("s", 4, None), ("t", 1, b"\xff"), ("t", 2, None), ("u", 1, b"x" * 99_000), ("u", 2, b" y"), ("u", 3, None)]
     kind = "stream_id string, seq long, chunk binary"
     spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/c")
     q = stream.run(stream.scan_chunks(spark.readStream.schema(kind).parquet(f"{tmp_path}/c")), "chunks")
     q.awaitTermination()
-    got = spark.table("chunks").orderBy("stream_id", "byte_offset").collect()
-    assert [(r["stream_id"], r["byte_offset"], r["content"]) for r in got if r["content"]] == [("s", 0, "mail "), ("s", 5, "a@b.de "), ("s", 12, "and")] and got[-1]["error"]
+    got = [(r["stream_id"], r["byte_offset"], r["content"], bool(r["error"])) for r in spark.table("chunks").orderBy("stream_id", "byte_offset").collect()]
+    assert got[:4] == [("s", 0, "mail ", False), ("s", 5, "a@b.de ", False), ("s", 12, "café", False), ("t", 0, None, True)]
+    assert [(k, at, e) for k, at, _, e in got[4:]] == [("u", 0, False), ("u", 74_250, False), ("u", 99_001, False)]
+
+
+def test_large_files_by_spark(spark, tmp_path):
+    lines = [f"row {i} é,\"a,{i}\"" for i in range(3000)]
+    (tmp_path / "a.csv").write_text("name,value\n" + "\n".join(lines) + "\n", "utf-8")
+    (tmp_path / "b.csv").write_text("name,value\r\nx,\r\n", "utf-8")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")  # many splits
+    try:
+        got = files.text_stream(spark, str(tmp_path))
+        by = {(r["path"].rpartition("/")[2], r["line"]): r["content"] for r in got.collect()}
+        cells = {(r["path"].rpartition("/")[2], r["row"], r["column"]): (r["header"], r["content"]) for r in files.csv_stream(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert by == {("a.csv", 1): "name,value", **{("a.csv", i + 2): x for i, x in enumerate(lines)}, ("b.csv", 1): "name,value", ("b.csv", 2): "x,"}
+    assert len(cells) == 6002 and all(cells["a.csv", i + 2, 0] == ("name", f"row {i} é") and cells["a.csv", i + 2, 1] == ("value", f"a,{i}") for i in range(3000)) and cells["b.csv", 2, 1] == ("value", "")
+
+
+def test_damaged_archive_entries(spark):
+    raw = bytearray(zipped({"a.txt": "a" * 50 + "bcd" * 9, "b.txt": "fine"}))
+    at = raw.index(b"a.txt") + 8
+    raw[at] ^= 0xFF
+    df = spark.createDataFrame([("z", bytes(raw))], "path string, content binary")
+    got = {r["path"]: (r["content"] and bytes(r["content"]), bool(r["warning"])) for r in files.archive_entries(df).collect()}
+    assert got == {"z!/a.txt": (None, True), "z!/b.txt": (b"fine", False)}
 
 
 def test_api(spark):
