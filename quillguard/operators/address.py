@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.building import quick
+from ..functions.regexkit import let
 
 COMPONENT = "struct<type:string,text:string,start:int,end:int>"
 BLOCK = f"struct<format:string,start:int,end:int,full_text:string,confidence:float,components:array<{COMPONENT}>>"
@@ -36,6 +37,9 @@ TOWN = {
     "de": (rf"\b({_FIVE})(\s+)({_run(_DE, 4)})\b", ("postal_code", None, "city")),
     "fr": (rf"\b({_FIVE})(\s+)({_run(_FR, 4, '[- ]')})\b", ("postal_code", None, "city")),
 }
+#: What a line with a street or a town holds at least.
+STREET_GUARD = {k: r"\d" for k in STREET}
+TOWN_GUARD = {"en": r"[A-Za-z]\s+" + _FIVE, "de": _FIVE + r"\s", "fr": _FIVE + r"\s"}
 _NATIONS = "Australia;Austria;Belgique;Belgium;Canada;Deutschland;España;France;Germany;Italien;Italy;Netherlands;Österreich;Poland;Polen;Schweiz;Spain;Spanien;Suisse;Switzerland;U.S.A.;UK;USA;United Kingdom;United States"
 COUNTRY = r"(?i)\b(?:" + "|".join(n.replace(".", r"\.") for n in _NATIONS.split(";")) + r")\b"
 
@@ -48,22 +52,28 @@ def _none() -> Column:
     return F.array().cast(f"array<{COMPONENT}>")
 
 
-def _found(line: Column, pattern: str, kind: str, offset: Column) -> Column:
-    """At most one component."""
-    m = F.regexp_extract(line, pattern, 0)
-    return F.when(m != "", F.array(_component(kind, m, offset + F.regexp_instr(line, F.lit(pattern)) - 1))).otherwise(_none()).cast(f"array<{COMPONENT}>")
+def _found(line: Column, pattern: str, kind: str, offset: Column, guard: str | None = None) -> Column:
+    """At most one component. guard: a cheaper pattern that a line with a match holds."""
+    one = lambda m: F.when(m != "", F.array(_component(kind, m, offset + F.regexp_instr(line, F.lit(pattern)) - 1)))
+    found = let(F.regexp_extract(line, pattern, 0), one)
+    return F.coalesce(F.when(line.rlike(guard), found) if guard else found, _none()).cast(f"array<{COMPONENT}>")
 
 
 def _town(line: Column, form: str, offset: Column) -> Column:
     pattern, kinds = TOWN[form]
-    at = offset + F.regexp_instr(line, F.lit(pattern)) - 1
-    parts = []
-    for i, kind in enumerate(kinds, 1):
-        g = F.regexp_extract(line, pattern, i)
-        if kind:
-            parts.append(_component(kind, g, at))
-        at = at + F.length(g)
-    return F.when(line.rlike(pattern), F.array(*parts)).otherwise(_none()).cast(f"array<{COMPONENT}>")
+
+    def split(m: Column) -> Column:
+        """The match's parts, from the match alone."""
+        at, parts = offset + F.regexp_instr(line, F.lit(pattern)) - 1, []
+        whole = pattern.replace(r"\b", "")
+        for i, kind in enumerate(kinds, 1):
+            g = F.regexp_extract(m, f"^{whole}$" if not whole.startswith("(?i)") else f"(?i)^{whole[4:]}$", i)
+            if kind:
+                parts.append(_component(kind, g, at))
+            at = at + F.length(g)
+        return F.when(m != "", F.array(*parts))
+
+    return F.coalesce(F.when(line.rlike(TOWN_GUARD[form]), let(F.regexp_extract(line, pattern, 0), split)), _none()).cast(f"array<{COMPONENT}>")
 
 
 def _confidence(parts: Column) -> Column:
@@ -86,31 +96,35 @@ def _placed(text: Column) -> Column:
 
 
 def _looked(lines: Column, form: str) -> Column:
-    """Each line with its end and what is found on it."""
-    return F.transform(
-        lines,
-        lambda x: F.struct(
-            (x["at"] + F.length(x["line"])).alias("end"), _found(x["line"], STREET[form], "street", x["at"]).alias("street"),
-            _town(x["line"], form, x["at"]).alias("town"), _found(x["line"], COUNTRY, "country", x["at"]).alias("country"),
-        ),
-    )
+    """Of each line with a street: the street, the ends of the line and of the two below, and these lines. Only they are looked at further."""
+    place = lambda x: F.struct(x["line"].alias("line"), x["at"].alias("at"), (x["at"] + F.length(x["line"])).alias("end"))
+
+    def one(x: Column, i: Column) -> Column:
+        street = _found(x["line"], STREET[form], "street", x["at"], STREET_GUARD[form])
+        near = lambda s: F.struct(s.alias("street"), place(x).alias("own"), place(F.get(lines, i + 1)).alias("one"), place(F.get(lines, i + 2)).alias("two"))
+        return let(street, lambda s: F.when(F.size(s) > 0, near(s)))
+
+    return F.filter(F.transform(lines, one), lambda x: x.isNotNull())
 
 
 def _made(looked: Column, form: str) -> Column:
-    """Parts and end of the block that starts on each line; lines without a street have none."""
-
-    def block(x: Column, i: Column) -> Column:
-        one, two = F.get(looked, i + 1), F.get(looked, i + 2)
-        some = lambda l, k: F.coalesce(F.size(l[k]) > 0, F.lit(False))
-        below = some(one, "town")
-        choices = [(two, some(two, "country"))] + ([(one, some(one, "country")), (x, some(x, "country"))] if form == "de" else [])
-        country, end = _none(), F.when(below, one["end"]).otherwise(x["end"])
-        for line, has in reversed(choices):
-            country, end = F.when(has, line["country"]).otherwise(country), F.when(has, line["end"]).otherwise(end)
-        parts = F.concat(x["street"], F.when(below, one["town"]).otherwise(x["town"]), country)
+    """Parts and end of the block that starts on each line with a street."""
+    towns = lambda x, k: F.coalesce(_town(x[k]["line"], form, x[k]["at"]), _none())
+    nation = lambda x, k: F.coalesce(_found(x[k]["line"], COUNTRY, "country", x[k]["at"]), _none())
+    order = ("two", "one", "own") if form == "de" else ("two",)
+
+    def known(x: Column) -> Column:
+        return F.struct(x["street"].alias("street"), *[x[k]["end"].alias(f"end_{k}") for k in ("own", "one", "two")], towns(x, "own").alias("town_own"), towns(x, "one").alias("town_one"), *[nation(x, k).alias(f"country_{k}") for k in order])
+
+    def block(x: Column) -> Column:
+        some = lambda k: F.size(x[k]) > 0
+        country, end = _none(), F.when(some("town_one"), x["end_one"]).otherwise(x["end_own"])
+        for k in reversed(order):
+            country, end = F.when(some(f"country_{k}"), x[f"country_{k}"]).otherwise(country), F.when(some(f"country_{k}"), x[f"end_{k}"]).otherwise(end)
+        parts = F.concat(x["street"], F.when(some("town_one"), x["town_one"]).otherwise(x["town_own"]), country)
         return F.struct(parts.alias("parts"), end.alias("end"))
 
-    return F.filter(F.transform(looked, lambda x, i: F.when(F.size(x["street"]) > 0, block(x, i))), lambda b: b.isNotNull())
+    return F.transform(F.transform(looked, known), block)
 
 
 def _finish(text: Column, made: Column, form: str) -> Column:

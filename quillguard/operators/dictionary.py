@@ -21,6 +21,10 @@ from ..data import shipped
 BROADCAST_TERMS = 500_000
 #: Words and terms that are compared at once where no trigram leads from one to the other.
 WORD_BLOCK, TERM_BLOCK = 500, 5_000
+#: Terms of all dictionaries up to which words are held against them by arrays.
+MATRIX_TERMS = 5_000
+#: Rows of matches of distinct words up to which they are sent to the texts, else joined; words that a task remembers.
+SENT_HITS, SEEN = 100_000, 500_000
 WORD = r"[\p{L}\p{M}\p{N}_]+(?:['’.][\p{L}\p{M}\p{N}_]+)*"
 HONORIFIC = r"(?i)(?:herr|frau|hr\.|fr\.|dr\.|prof\.) $"
 LOCALES = ("at", "de", "ch", "generic")
@@ -240,17 +244,36 @@ class Config:
 
 
 def words_of(text: Column) -> Column:
-    """Words with their places. A text has very many; adding them to an array one by one in an expression would be quadratic."""
+    """Words with their places and the 20 characters before. A text has very many; adding them to an array one by one in an expression would be quadratic."""
 
-    @F.udf("array<struct<start:int,end:int,text:string>>", useArrow=True)
+    @F.udf("array<struct<start:int,end:int,text:string,before:string>>", useArrow=True)
     def run(t):
         import regex
 
-        return [(m.start(), m.end(), m[0]) for m in regex.finditer(WORD, t or "")]
+        return [(m.start(), m.end(), m[0], t[max(0, m.start() - 20) : m.start()]) for m in regex.finditer(WORD, t or "")]
 
     return run(text)
 
 
+def distinct_words(segments: DataFrame, text: str = "content") -> DataFrame:
+    """word: each word of the texts once. A task passes on those that it hasn't seen, so little is shuffled."""
+    import pyarrow as pa
+
+    def run(batches):
+        import regex
+
+        find, seen = regex.compile(WORD).findall, set()
+        for b in batches:
+            new = {w for t in b.column(0).to_pylist() if t for w in find(t)}
+            new -= seen
+            seen |= new
+            if len(seen) > SEEN:
+                seen = set()
+            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.string())], ["word"])
+
+    return segments.select(text).mapInArrow(run, "word string").distinct()
+
+
 def confidence(frequency: Column, similarity: Column, prefix: Column, word: Column) -> Column:
     """Of the entry, the match and the signs around it: an honorific before, a capital first."""
     bonus = F.lit(1.0) + F.when(prefix.rlike(HONORIFIC), 0.15).otherwise(0.0) + F.when(word.rlike(r"^\p{Lu}"), 0.05).otherwise(0.0)
@@ -265,16 +288,24 @@ def lookup(words: DataFrame, registry: DictionaryRegistry, config: Config) -> Da
     if sum(map(len, own)) > BROADCAST_TERMS:
         return _lookup_joined(words, own, config)
     sent = words.sparkSession.sparkContext.broadcast(own)
+    by_arrays = config.fuzzy and sum(map(len, own)) <= MATRIX_TERMS
     names = ["word", "dictionary_id", "category", "locale", "term", "frequency", "similarity"]
 
     def run(batches):
         for b in batches:
             rows = []
-            for w in b.column(0).to_pylist():
-                key = normalize(w)
-                for d in sent.value:
+            words = b.column(0).to_pylist()
+            keys = [*map(normalize, words)]
+            near = _near(keys, sent.value, config.threshold) if by_arrays else None
+            for i, (w, key) in enumerate(zip(words, keys)):
+                for k, d in enumerate(sent.value):
                     e = d.get(key)
-                    found = [(e, 1.0)] if e else d.find_fuzzy(key, config.threshold) if config.fuzzy else []
+                    if e:
+                        found = [(e, 1.0)]
+                    elif near is None:
+                        found = d.find_fuzzy(key, config.threshold) if config.fuzzy else []
+                    else:
+                        found = near.get((i, k), ())
                     rows += [(w, d.id, d.category, d.locale, e.term, e.frequency, s) for e, s in found]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i < 5 else pa.float64()) for i in range(7)], names)
 
@@ -283,6 +314,21 @@ def lookup(words: DataFrame, registry: DictionaryRegistry, config: Config) -> Da
     return words.select("word").repartition(n, "word").mapInArrow(run, "word string, dictionary_id string, category string, locale string, term string, frequency double, similarity double")
 
 
+def _near(keys: list[str], own: list[Dictionary], threshold: float) -> dict[tuple[int, int], list[tuple[Entry, float]]]:
+    """find_fuzzy of all keys in all dictionaries, by the numbers of key and dictionary: first the pairs that are similar, then which of them may be."""
+    on = [i for i, k in enumerate(keys) if k]
+    terms = [(k, t) for k, d in enumerate(own) for t in d.entries if t]
+    out: dict[tuple[int, int], list[tuple[Entry, float]]] = {}
+    for i, j, s in similar([keys[i] for i in on], [t for _, t in terms], threshold):
+        k, t = terms[j]
+        out.setdefault((on[i], k), []).append((own[k].entries[t], s))
+    for (i, k), found in out.items():
+        if may := own[k].candidates(keys[i]):
+            forms = {id(own[k].entries[t]) for t in may}
+            out[i, k] = [x for x in found if id(x[0]) in forms]
+    return out
+
+
 def _lookup_joined(words: DataFrame, own: list[Dictionary], config: Config) -> DataFrame:
     """The same by joins."""
     spark = words.sparkSession
@@ -333,14 +379,69 @@ def _lookup_lone(w: DataFrame, near: DataFrame, exact: DataFrame, terms: DataFra
 
 
 def detect_names(segments: DataFrame, registry: DictionaryRegistry | None = None, config: Config | None = None, text: str = "content") -> DataFrame:
-    """One row a match, with the segment's other columns. In each segment matches don't overlap: by start, surer first."""
+    """One row a match, with the segment's other columns. In each segment matches don't overlap: by start, surer first.
+
+    The texts are read twice and never shuffled: distinct words go through the lookup first (a job of its own), and up to SENT_HITS matches of
+    them are sent back to the texts; more are joined to the words.
+    """
     registry, config = registry or builtin_registry(), config or Config()
     rest = [c for c in segments.columns if c != text]
     if not config.require_word_boundaries:
         return _substrings(segments, registry, config, text, rest)
-    placed = segments.withColumn("_id", F.monotonically_increasing_id()).select(*rest, "_id", F.col(text).alias("_t"), F.explode_outer(words_of(F.col(text))).alias("w")).where(F.col("w").isNotNull())
-    at = placed.select(*rest, "_id", F.col("w.text").alias("matched_text"), F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.expr("substring(_t, greatest(w.start - 19, 1), least(w.start, 20))").alias("_prefix"))
-    found = lookup(at.select(F.col("matched_text").alias("word")).distinct(), registry, config)
+    found = lookup(distinct_words(segments, text), registry, config).persist()
+    if found.count() > SENT_HITS:
+        return _joined_names(segments, found, config, text, rest)
+    hits: dict[str, list[tuple]] = {}
+    for r in found.collect():
+        hits.setdefault(r["word"], []).append((r["category"], r["dictionary_id"], r["locale"], r["term"], r["frequency"], r["similarity"]))
+    found.unpersist()
+    return _sent_names(segments, hits, config, text, rest)
+
+
+def _sent_names(segments: DataFrame, hits: dict[str, list[tuple]], config: Config, text: str, rest: list[str]) -> DataFrame:
+    import pyarrow as pa
+
+    sent = segments.sparkSession.sparkContext.broadcast(hits)
+    kinds = {"category": pa.string(), "start": pa.int32(), "end": pa.int32(), "matched_text": pa.string(), "confidence": pa.float32(), "dictionary_id": pa.string(), "locale": pa.string(), "term": pa.string(), "match_type": pa.string(), "similarity": pa.float64()}
+
+    def run(batches):
+        import re
+
+        import numpy as np
+        import regex
+
+        find, honor = regex.compile(WORD).finditer, re.compile(HONORIFIC[:-1] + "(?:\r\n|[\n\r\x85\u2028\u2029])?\\Z")
+        upper, least, known = regex.compile(r"\p{Lu}").match, np.float32(config.min_confidence), sent.value
+
+        def surest(t, m):
+            bonus = 1.0
+            if honor.search(t[max(0, m.start() - 20) : m.start()]):
+                bonus += 0.15
+            if upper(m[0]):
+                bonus += 0.05
+            own = [(np.float32(min(1.0, f * s * min(bonus, 1.2))), d, term, c, loc, s) for c, d, loc, term, f, s in known[m[0]]]
+            return min((x for x in own if x[0] >= least), key=lambda x: (-x[0], x[1], x[2]), default=None)
+
+        for b in batches:
+            at, rows = [], []
+            for i, t in enumerate(b.column(0).to_pylist()):
+                for m in find(t or ""):
+                    if m[0] in known and (x := surest(t, m)):
+                        at.append(i)
+                        rows.append((x[3], m.start(), m.end(), m[0], x[0], x[1], x[4], x[2], "exact" if x[5] == 1.0 else "fuzzy", x[5]))
+            own = [c.take(pa.array(at, pa.int64())) for c in b.columns[1:]]
+            made = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds.values())]
+            yield pa.RecordBatch.from_arrays(own + made, [*rest, *kinds])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in segments.select(*[F.col(f"`{c}`") for c in rest]).schema]
+    made = "category string, start int, end int, matched_text string, confidence float, dictionary_id string, locale string, term string, match_type string, similarity double"
+    return segments.select(text, *[F.col(f"`{c}`") for c in rest]).mapInArrow(run, ", ".join([*fields, made]))
+
+
+def _joined_names(segments: DataFrame, found: DataFrame, config: Config, text: str, rest: list[str]) -> DataFrame:
+    """The same by joins on the words."""
+    placed = segments.withColumn("_id", F.monotonically_increasing_id()).select(*rest, "_id", F.explode_outer(words_of(F.col(text))).alias("w")).where(F.col("w").isNotNull())
+    at = placed.select(*rest, "_id", F.col("w.text").alias("matched_text"), F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.col("w.before").alias("_prefix"))
     both = at.join(found.withColumnRenamed("word", "matched_text"), "matched_text")
     sure = both.withColumn("confidence", confidence(F.col("frequency"), F.col("similarity"), F.col("_prefix"), F.col("matched_text"))).where(F.col("confidence") >= F.lit(config.min_confidence).cast("float"))
     # words don't overlap each other, so of a word's matches the surest stays
