@@ -15,7 +15,7 @@ from quillguard.plans import catalog
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 NAMES = (
-    "detect_all", "detect_email", "detect_credit_card", "detect_iban", "detect_phone", "inventory_by_language", "inventory_rollup", "redact_label", "policy_execute_hash", "context_markers",
+    "detect_all", "detect_email", "detect_credit_card", "detect_iban", "detect_phone", "inventory_by_language", "inventory_rollup", "redact_label", "policy_execute_custom", "context_markers",
     "address_en", "dictionary_names", "html_segments_scan", "text_lines", "hash_sha256_salted", "encrypt_decrypt", "tokenize_detokenize", "audit_chain_verify", "stream_equals_batch",
 )
 

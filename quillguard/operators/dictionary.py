@@ -453,20 +453,29 @@ def _joined_names(segments: DataFrame, found: DataFrame, config: Config, text: s
 
 
 def _substrings(segments: DataFrame, registry: DictionaryRegistry, config: Config, text: str, rest: list[str]) -> DataFrame:
-    """Terms anywhere, in any case: an Arrow function over the texts, dictionary by dictionary."""
+    """Terms anywhere, in any case. Of overlapping matches the first stays, and of those with one start the surest; what isn't sure enough counts for nothing."""
     import re
 
     own = [(d.id, d.category, d.locale, e.term, e.frequency) for d in registry.by_id.values() if config.enables(d) for e in d.entries.values()]
-    by_term = {t.lower(): (i, c, loc, t, f) for i, c, loc, t, f in reversed(own)}
-    pattern = re.compile("|".join(sorted(map(re.escape, by_term), key=len, reverse=True)), re.I)
+    own.sort(key=lambda x: -x[4])  # signs around a place are the same for all terms that start there
+    by_term: dict[str, tuple] = {}
+    for x in own:
+        by_term.setdefault(x[3].lower(), x)
+    pattern = re.compile("|".join(map(re.escape, by_term)) or r"(?!)", re.I)
+    honor = re.compile(HONORIFIC)
 
     @F.udf("array<struct<category:string,start:int,end:int,matched_text:string,confidence:float,dictionary_id:string,locale:string,term:string>>", useArrow=True)
     def find(t):
-        out = []
-        for m in pattern.finditer(t or ""):
-            i, c, loc, term, f = by_term.get(m[0].lower(), (None,) * 5)
-            if i and f >= config.min_confidence:
-                out.append((c, m.start(), m.end(), m[0], f, i, loc, term))
+        out, at, t = [], 0, t or ""
+        while m := pattern.search(t, at):
+            i, c, loc, term, f = by_term.get(m[0].lower(), (None, None, None, None, 0.0))
+            bonus = 1.0 + (0.15 if honor.search(t[max(0, m.start() - 20) : m.start()]) else 0.0) + (0.05 if m[0][0].isupper() else 0.0)
+            sure = min(1.0, f * min(bonus, 1.2))
+            if i and sure >= config.min_confidence:
+                out.append((c, m.start(), m.end(), m[0], sure, i, loc, term))
+                at = m.end()
+            else:
+                at = m.start() + 1
         return out
 
     return segments.select(*rest, F.explode(find(F.col(text))).alias("m")).select(*rest, "m.*", F.lit("substring").alias("match_type"), F.lit(1.0).alias("similarity"))

@@ -208,26 +208,51 @@ def parse_pdf(raw: bytes, encoding: str | None = None):
         raise ParseError("encrypted", "encrypted PDF")
     if b"%%EOF" not in raw[-2048:] and b"endobj" not in raw:
         raise ParseError("corrupted", "the PDF is cut off")
-    objects = {int(m[1]): m[2] for m in re.finditer(rb"(\d+)\s+0\s+obj(.*?)endobj", raw, re.S)}
+    objects = {int(m[1]): m[2] for m in re.finditer(rb"(\d+)\s+\d+\s+obj(.*?)endobj", raw, re.S)}
+    ref = rb"(\d+)\s+\d+\s+R"
 
-    def content(body: bytes) -> str:
+    def data_of(body: bytes) -> bytes:
         m = re.search(rb"stream\r?\n(.*?)\r?\n?endstream", body, re.S)
         if not m:
-            return ""
-        data = m[1]
-        if b"FlateDecode" in body[: m.start()]:
-            try:
-                data = zlib.decompressobj().decompress(data, MAX_ENTRY)
-            except zlib.error as e:
-                raise ParseError("corrupted", f"a stream can't be read: {e}") from None
-        return _pdf_text(data)
-
-    pages = []
-    for body in objects.values():
-        if re.search(rb"/Type\s*/Page\b", body):
-            refs = re.search(rb"/Contents\s*(?:\[([^\]]*)\]|(\d+)\s+0\s+R)", body)
-            ids = [int(x) for x in re.findall(rb"(\d+)\s+0\s+R", refs[1])] if refs and refs[1] else [int(refs[2])] if refs else []
-            pages.append("".join(content(objects.get(i, b"")) for i in ids))
+            return b""
+        if b"FlateDecode" not in body[: m.start()]:
+            return m[1]
+        try:
+            return zlib.decompressobj().decompress(m[1], MAX_ENTRY)
+        except zlib.error as e:
+            raise ParseError("corrupted", f"a stream can't be read: {e}") from None
+
+    # objects in streams of objects: pairs of number and offset, then the objects
+    for body in [b for b in objects.values() if re.search(rb"/Type\s*/ObjStm\b", b)]:
+        n, first = (re.search(rb"/" + k + rb"\s+(\d+)", body) for k in (b"N", b"First"))
+        if not (n and first):
+            continue
+        data = data_of(body)
+        pairs = [int(x) for x in data[: int(first[1])].split()[: 2 * int(n[1])]]
+        starts = [int(first[1]) + x for x in pairs[1::2]]
+        for number, lo, hi in zip(pairs[::2], starts, [*starts[1:], len(data)]):
+            objects.setdefault(number, data[lo:hi])
+
+    def content(body: bytes) -> str:
+        refs = re.search(rb"/Contents\s*(?:\[([^\]]*)\]|" + ref + rb")", body)
+        ids = [int(x) for x in re.findall(ref, refs[1])] if refs and refs[1] else [int(refs[2])] if refs else []
+        return _pdf_text(b"\n".join(data_of(objects.get(i, b"")) for i in ids))
+
+    def leaves(i: int, seen: set[int]):
+        """Pages below a node, in their order."""
+        body = objects.get(i, b"")
+        if i in seen:
+            return
+        seen.add(i)
+        if kids := re.search(rb"/Kids\s*\[([^\]]*)\]", body):
+            for k in re.findall(ref, kids[1]):
+                yield from leaves(int(k), seen)
+        elif re.search(rb"/Type\s*/Page\b", body):
+            yield i
+
+    root = next((re.search(rb"/Pages\s+" + ref, b) for b in objects.values() if re.search(rb"/Type\s*/Catalog\b", b)), None)
+    order = [*leaves(int(root[1]), set())] if root else []
+    pages = [content(objects[i]) for i in order or [i for i, b in objects.items() if re.search(rb"/Type\s*/Page\b", b)]]
     out = []
     for n, text in enumerate(pages, 1):
         for k, p in enumerate(x for x in re.split(r"\n\s*\n", text) if x.strip()):

@@ -51,6 +51,21 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     context.rename(temp, _at(spark, path)[1], how)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all tasks can write to and read: under that of spark.checkpoint.dir, or under the local temporary one where all tasks run in this process."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="quillguard-")
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    make_folder(spark, path)
+    return path
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The rows as they are now, for good: computed again they could differ. Into the folder of spark.checkpoint.dir, in memory where all tasks run in this process."""
     spark = df.sparkSession
