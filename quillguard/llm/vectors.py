@@ -4,7 +4,8 @@ Equal vectors of a label are one class with a multiplicity. Unit vectors are rot
 all vectors), ordered by label and coarse cells of the leading coordinates, and cut into tiles of consecutive rows with the
 box of their leading coordinates. Tile pairs of one label whose boxes are near enough are compared: products of the leading
 coordinates first; the rest of a product is at most the product of the suffix norms, so the comparison of a tile stops when
-no cosine can reach the threshold, and goes on with the pairs that still can. A tile pair gives the number of links of each
+no cosine can reach the threshold, and goes on with the pairs that still can. Tile pairs are gathered by pairs of groups of `GROUP` tiles, so a
+tile's vectors travel once to each group near it, not to each tile. A tile pair gives the number of links of each
 vector and a spanning forest, never the pairs themselves; components come from the forests.
 
 Defined results: a vector that is null, empty, zero or has a null or non-finite component, or whose label or vec_id is null,
@@ -20,11 +21,13 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize, table
+from .common import bound_batches, drop, materialize, table
 from .graph import components
 
 THRESHOLD = 0.93
 TILE = 512
+#: Consecutive tiles whose pairs with another such group are compared in one go: at most 2 * GROUP * TILE vectors in memory.
+GROUP = 16
 #: Leading coordinates of a tile's box.
 BOX = 8
 #: Coordinates summed before each look at the bound.
@@ -133,17 +136,23 @@ def make_tiles(classes: DataFrame, axes: dict, threshold: float, tile: int = TIL
 def tile_pairs(tiles: DataFrame, threshold: float) -> DataFrame:
     """a, b (a <= b) of the tile pairs of one label and dimension whose boxes are near enough.
 
-    Only the boxes take part. Tiles meet in cells of the first coordinate as wide as the distance that the threshold allows.
+    Only the boxes take part. Tiles meet in cells of the first two coordinates as wide as the distance that the threshold allows.
     """
     far = 2 - 2 * threshold + 1e-6
     width = math.sqrt(far)
     cell = lambda x: F.floor(x / F.lit(width)).cast("int")
+
+    def cells(box: DataFrame, lo: str, hi: str, more: float, *rest: str) -> DataFrame:
+        """A row for each cell of the first two coordinates that the box, wider by `more`, meets."""
+        spans = [F.sequence(cell(F.col(lo)[k] - more), cell(F.col(hi)[k] + more)) for k in (0, 1)]
+        return box.select("*", F.explode(spans[0]).alias("c0")).select("*", F.explode(spans[1]).alias("c1")).select(*rest, "label", "d", lo, hi, "c0", "c1")
+
     meta = tiles.select("tile", "label", "d", "lo", "hi")
-    left = meta.select(F.col("tile").alias("a"), "label", "d", F.col("lo").alias("alo"), F.col("hi").alias("ahi"), F.explode(F.sequence(cell(F.col("lo")[0]), cell(F.col("hi")[0]))).alias("cell"))
-    right = meta.select(F.col("tile").alias("b"), "label", "d", "lo", "hi", F.explode(F.sequence(cell(F.col("lo")[0] - width), cell(F.col("hi")[0] + width))).alias("cell"))
+    left = cells(meta.select(F.col("tile").alias("a"), "label", "d", F.col("lo").alias("alo"), F.col("hi").alias("ahi")), "alo", "ahi", 0.0, "a")
+    right = cells(meta.select(F.col("tile").alias("b"), "label", "d", "lo", "hi"), "lo", "hi", width, "b")
     gap = F.zip_with(F.zip_with("lo", "ahi", lambda x, y: F.greatest(x - y, F.lit(0.0))), F.zip_with("alo", "hi", lambda x, y: F.greatest(x - y, F.lit(0.0))), lambda x, y: F.greatest(x, y))
     apart = F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x)
-    return left.join(right, ["label", "d", "cell"]).where((F.col("a") <= F.col("b")) & (apart <= far)).select("a", "b").distinct()
+    return left.join(right, ["label", "d", "c0", "c1"]).where((F.col("a") <= F.col("b")) & (apart <= far)).select("a", "b").distinct()
 
 
 def compare(x, y, threshold: float, same: bool):
@@ -177,52 +186,67 @@ def linked(tiles: DataFrame, pairs: DataFrame, axes: dict, threshold: float) ->
     """rep, links (with multiplicities), root (of a spanning forest) for each tile pair and vector with links there."""
     import pyarrow as pa
 
-    t = tiles.select("tile", "d", "ids", "mults", "vectors")
-    left = t.select(F.col("tile").alias("a"), "d", F.col("ids").alias("aids"), F.col("mults").alias("amults"), F.col("vectors").alias("avectors"))
-    both = pairs.join(left, "a").join(t.select(F.col("tile").alias("b"), "ids", "mults", "vectors"), "b")
+    group = lambda c: F.floor(F.col(c) / GROUP).cast("long")
+    on = pairs.select(group("a").alias("ga"), group("b").alias("gb"), "a", "b")
+    # each tile once a pair of groups, with the tiles that it is to be compared with
+    first = on.groupBy("ga", "gb", F.col("a").alias("tile")).agg(F.collect_list("b").alias("bs"))
+    second = on.select("ga", "gb", F.col("b").alias("tile")).distinct().withColumn("bs", F.array().cast("array<long>"))
+    wanted = first.unionByName(second).groupBy("ga", "gb", "tile").agg(F.flatten(F.collect_list("bs")).alias("bs"))
+    both = wanted.join(tiles.select("tile", "d", "ids", "mults", "vectors"), "tile")
+    none = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
-    def run(batches):
+    def run(table):
+        import numpy as np
+
+        rows = {r["tile"]: r for r in table.to_pylist()}
+        for r in rows.values():
+            r["v"] = np.frombuffer(r.pop("vectors")).reshape(-1, r["d"])
+            r["x"] = unit(r["v"]) @ axes[r["d"]]
+        out = []
+        for a_ in sorted(rows):
+            for b_ in sorted(rows[a_]["bs"]):
+                p, q = rows[a_], rows[b_]
+                found = forest(compare(p["x"], q["x"], threshold, a_ == b_), p, q, a_ == b_)
+                if found:
+                    out.append(found)
+        return pa.concat_tables(out) if out else none.empty_table()
+
+    def unit(v):
         import numpy as np
 
-        def rotated(raw, d):
-            x = np.frombuffer(raw).reshape(-1, d)
-            u = x / np.abs(x).max(1, keepdims=True)
-            u = u / np.sqrt((u * u).sum(1, keepdims=True))
-            return u, u @ axes[d]
+        u = v / np.abs(v).max(1, keepdims=True)
+        return u / np.sqrt((u * u).sum(1, keepdims=True))
 
-        for b in batches:
-            for r in range(b.num_rows):
-                a_, b_, d, ai, am, av, bi, bm, bv = (b.column(k)[r].as_py() for k in range(9))
-                (u, x), (v, y) = rotated(av, d), rotated(bv, d)
-                i, j, p = compare(x, y, threshold, a_ == b_)
-                near = np.flatnonzero(np.abs(p - threshold) <= 2 * _SLACK)
-                if len(near):  # rotation rounds; these are settled by the vectors as they are
-                    p = p.copy()
-                    p[near] = np.einsum("nk,nk->n", u[i[near]], v[j[near]])
-                i, j = i[p >= threshold], j[p >= threshold]
-                if not len(i):
-                    continue
-                ids, mults = (np.frombuffer(q, "i8") for q in (ai + bi, am + bm))
-                j = j + (0 if a_ == b_ else len(x))
-                links = np.bincount(i, mults[j], len(ids)) + np.bincount(j, mults[i], len(ids))
-                root = np.arange(len(ids))
-                order = np.argsort(ids, kind="stable")
-                rank = np.empty(len(ids), "i8")
-                rank[order] = np.arange(len(ids))
-                label = rank.copy()
-                while True:
-                    new = label.copy()
-                    np.minimum.at(new, i, label[j])
-                    np.minimum.at(new, j, label[i])
-                    new = np.minimum(new, new[order[new]])
-                    if (new == label).all():
-                        break
-                    label = new
-                root = ids[order[label]]
-                on = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(links[on].astype("i8")), pa.array(root[on])], ["rep", "links", "root"])
-
-    return both.select("a", "b", "d", "aids", "amults", "avectors", "ids", "mults", "vectors").mapInArrow(run, "rep long, links long, root long")
+    def forest(found, a, b, same):
+        import numpy as np
+
+        i, j, p = found
+        near = np.flatnonzero(np.abs(p - threshold) <= 2 * _SLACK)
+        if len(near):  # rotation rounds; these are settled by the vectors as they are
+            p = p.copy()
+            p[near] = np.einsum("nk,nk->n", unit(a["v"][i[near]]), unit(b["v"][j[near]]))
+        i, j = i[p >= threshold], j[p >= threshold]
+        if not len(i):
+            return None
+        ids, mults = (np.frombuffer(q, "i8") for q in (a["ids"] + b["ids"], a["mults"] + b["mults"]))
+        j = j + (0 if same else len(a["x"]))
+        links = np.bincount(i, mults[j], len(ids)) + np.bincount(j, mults[i], len(ids))
+        order = np.argsort(ids, kind="stable")
+        rank = np.empty(len(ids), "i8")
+        rank[order] = np.arange(len(ids))
+        label = rank.copy()
+        while True:
+            new = label.copy()
+            np.minimum.at(new, i, label[j])
+            np.minimum.at(new, j, label[i])
+            new = np.minimum(new, new[order[new]])
+            if (new == label).all():
+                break
+            label = new
+        root, on = ids[order[label]], np.flatnonzero(links)
+        return pa.table([pa.array(ids[on]), pa.array(links[on].astype("i8")), pa.array(root[on])], schema=none)
+
+    return both.groupBy("ga", "gb").applyInArrow(run, "rep long, links long, root long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
