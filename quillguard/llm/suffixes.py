@@ -373,11 +373,11 @@ def owners(found: DataFrame, length: int) -> DataFrame:
 
     few = rows.join(large, "h", "left_anti").repartition("h").sortWithinPartitions("h", "c")
     normal = few.select("h", "c", "context", "doc").mapInArrow(run, "c long, s int, n int, m long")
-    # one row a window, for the few anchors with very many contexts or very long ones
+    # one row a window, its bytes themselves, for the few anchors with very many contexts or very long ones
     split = rows.join(large, "h", "left_semi").groupBy("c").agg(F.first("context").alias("context"), F.min("doc").alias("doc"))
-    windows = split.select("c", "doc", "context", F.explode(F.sequence(F.lit(0), F.length("context") - length)).alias("s")).select("c", "s", "doc", F.xxhash64(F.expr(f"substring(context, s + 1, {length})")).alias("w"), F.crc32(F.expr(f"substring(context, s + 1, {length})")).alias("w2"))
-    least = windows.groupBy("w", "w2").agg(F.min("doc").alias("m"))
-    return normal.unionByName(windows.join(least, ["w", "w2"]).select("c", "s", F.lit(1).alias("n"), "m"))
+    windows = split.select("c", "doc", "context", F.explode(F.sequence(F.lit(0), F.length("context") - length)).alias("s")).select("c", "s", "doc", F.expr(f"substring(context, s + 1, {length})").alias("w"))
+    least = windows.groupBy("w").agg(F.min("doc").alias("m"))
+    return normal.unionByName(windows.join(least, "w").select("c", "s", F.lit(1).alias("n"), "m"))
 
 
 def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
