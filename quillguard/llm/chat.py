@@ -5,6 +5,9 @@ tokens that each placeholder stands for. The template marks turns with control s
 backslash after their first character (one more where there are some already), which reading back takes away again. The
 loss mask is a list of spans of the output over the texts of the assistant.
 
+Content parts of a table come as JSON. Parts of an unknown type or with values that make no sense get the placeholder <|unknown:n|> and 0 tokens; content
+that isn't JSON, or is no list, object or string, is a text as it stands; null parts are left out.
+
 Defined results: null text is empty; a null role is the empty role; turns with the same number follow in the order of role
 and text; a null conv_id is a conversation of its own; repeated rows are turns of their own; an empty table gives conversation -1 only
 (the query) or nothing (the operator); other columns are ignored.
@@ -53,6 +56,8 @@ class Flattener:
     tile: int = 512
     tokens_per_second: int = 25
     tokens_per_page: int = 768
+    #: Whether parts that aren't understood are errors.
+    strict: bool = True
     attachments: list[Attachment] = field(default_factory=list)
 
     def visit(self, part) -> str:
@@ -63,23 +68,28 @@ class Flattener:
         if isinstance(part, (list, tuple)):
             merged: list = []  # neighbouring texts are one text, else a control string could arise between them
             for p in part:
-                text = p if isinstance(p, str) else (p.get("text") or "") if p and p.get("type", "text") == "text" else None
+                text = p if isinstance(p, str) else str(p.get("text") or "") if isinstance(p, dict) and p.get("type", "text") == "text" else None
                 if text is not None and merged and isinstance(merged[-1], str):
                     merged[-1] += text
                 elif p is not None:
                     merged.append(p if text is None else text)
             return "".join(map(self.visit, merged))
-        own: Callable | None = getattr(self, f"visit_{part.get('type', 'text')}", None)
-        if own is None:
-            raise ValueError(f"unknown content part: {part.get('type')!r}")
-        return own(part)
+        own: Callable | None = getattr(self, f"visit_{part.get('type', 'text')}", None) if isinstance(part, dict) else None
+        try:
+            if own is None:
+                raise ValueError(f"unknown content part: {part!r}")
+            return own(part)
+        except (TypeError, ValueError, ArithmeticError):
+            if self.strict:
+                raise
+            return self._place("unknown", {}, 0)
 
     def visit_text(self, part: dict) -> str:
-        return escape(part.get("text") or "")
+        return escape(str(part.get("text") or ""))
 
     def _place(self, kind: str, part: dict, tokens: int) -> str:
         n = sum(a.kind == kind for a in self.attachments)
-        self.attachments.append(Attachment(kind, part.get("ref") or "", n, tokens))
+        self.attachments.append(Attachment(kind, str(part.get("ref") or ""), n, int(tokens)))
         return f"<|{kind}:{n}|>"
 
     def visit_image(self, part: dict) -> str:
@@ -136,14 +146,21 @@ def format_table(conversations: DataFrame, parts: str | None = None) -> DataFram
     grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     kind = pa.struct([("kind", pa.string()), ("ref", pa.string()), ("ordinal", pa.int64()), ("tokens", pa.int64())])
 
-    def run(batches):
+    def content_of(x: str | None):
         import json
 
+        try:
+            got = json.loads(x) if parts and x else x
+        except ValueError:
+            return x
+        return got if isinstance(got, (list, dict, str)) or got is None else x
+
+    def run(batches):
         for b in batches:
             rows = []
             for conv_id, turns in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                got = [(t["role"], json.loads(t["content"]) if parts and t["content"] else t["content"]) for t in turns]
-                text, spans, attached = format_chat(got)
+                got = [(t["role"], content_of(t["content"])) for t in turns]
+                text, spans, attached = format_chat(got, Flattener(strict=False))
                 rows.append((conv_id, len(got), text, [{"start": s, "end": e} for s, e in spans], [a.__dict__ for a in attached]))
             c = [*zip(*rows)]
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2]), pa.array(c[3], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(c[4], pa.list_(kind))], ["conv_id", "n_turns", "formatted", "loss_spans", "attachments"])
