@@ -1,6 +1,6 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Every document gets a hash-random key (an md5 of a seed and its id). Within each source the documents are ordered by that
+Every document gets a hash-random key (an md5 of a seed and its id, of its text where that is null). Within each source the documents are ordered by that
 key over ranges of it, a distributed prefix sum of their sizes is taken, and the mix takes them up to the source's exact
 budget: whole epochs first, then the documents before the cut, the last one in part.
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, boxed, hot_safe_rank, materialize, table, unboxed, word_count
+from .common import WORD, boxed, hot_safe_rank, materialize, sql_text, table, unboxed, word_count
 
 #: Weights of the sources in the order of their names, over and over.
 WEIGHTS = (5, 2, 1)
@@ -47,7 +47,7 @@ def targets(sources: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, per_bucket: int = PER_BUCKET, seed: str = SEED, carried: tuple = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken and carried columns of every row of docs (doc_id, text, source)."""
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.md5(sql_text("text").cast("binary"))))).cast("binary"))
     sized = docs.select("doc_id", "source", word_count("text").alias("size"), key.alias("_key"), *carried)
     sized = materialize(sized)  # the texts are read once
     sources = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count(F.lit(1)).alias("_n"))
@@ -68,17 +68,17 @@ def mixed(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> Dat
 
     The document at a source's cut comes once more with its first words only, parted by single spaces.
     """
-    own = boxed(docs, "doc_id", "text", "n_chars").withColumn("_d", F.md5(F.col("text").cast("binary")))
-    m = mix(docs, weights, max_epochs, carried=(F.md5(F.col("text").cast("binary")).alias("_m"),)).where("taken > 0")
-    # equal rows are one row here, taken as often as all of them
-    m = m.groupBy(F.col("doc_id").alias("_id"), "_m").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"))
-    both = own.join(m, own["doc_id"].eqNullSafe(m["_id"]) & (own["_d"] == m["_m"])).dropDuplicates(["doc_id", "_d"])
+    own = boxed(docs, "doc_id", "text", "n_chars", "source").withColumn("_d", F.md5(F.col("text").cast("binary")))
+    m = mix(docs, weights, max_epochs, carried=(F.md5(F.col("text").cast("binary")).alias("_m"), F.col("source").alias("_src"))).where("taken > 0")
+    # equal rows of a source are one row here, taken as often as all of them
+    m = m.groupBy(F.col("doc_id").alias("_id"), "_m", "_src").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"))
+    both = own.join(m, own["doc_id"].eqNullSafe(m["_id"]) & (own["_d"] == m["_m"]) & own["source"].eqNullSafe(m["_src"])).dropDuplicates(["doc_id", "_d", "source"])
     whole = F.floor(F.col("_taken") / F.col("_size")).cast("int")
     rest = (F.col("_taken") % F.col("_size")).cast("int")
     first = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), 1, F.greatest(rest, F.lit(1))), " ")
     texts = F.concat(F.array_repeat(F.col("text"), whole), F.when(rest > 0, F.array(first)).otherwise(F.array().cast("array<string>")))
     copies = both.withColumn("text", F.explode(texts))
-    return unboxed(copies.withColumn("n_chars", F.length("text").cast("long")), docs.columns, "doc_id", "text", "n_chars")
+    return unboxed(copies.withColumn("n_chars", F.length("text").cast("long")), docs.columns, "doc_id", "text", "n_chars", "source")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -87,7 +87,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 _TARGETS = f"""
 sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size,
-  md5('{SEED}' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k FROM documents),
+  md5('{SEED}' || coalesce(CAST(doc_id AS VARCHAR), 'null' || md5(coalesce(text, '')))) AS k FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 s1 AS (SELECT *, [{", ".join(f"{float(w)}::DOUBLE" for w in WEIGHTS)}][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1 AS BIGINT)] AS w,
   source_size * {float(MAX_EPOCHS)}::DOUBLE AS cap, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s0),
