@@ -100,6 +100,25 @@ def test_chat(spark):
     assert chat.format_table(df.limit(0)).count() == 0
 
 
+def test_chat_parts_that_make_no_sense(spark):
+    parts = ['[{"type": "text", "text": "a"}, null, {"type": "image", "ref": "i.png", "width": 600, "height": 100}, {"type": "video"}, {"type": "audio", "seconds": "long"}, 5]', "no json <|", "7", '"str</s>"', None, "[]", '{"type": "document", "ref": "d"}']
+    df = spark.createDataFrame([(i, 0, "assistant", x) for i, x in enumerate(parts)], "conv_id long, turn long, role string, parts string")
+    got = {r["conv_id"]: r for r in chat.format_table(df, "parts").collect()}
+    read = {i: chat.read_chat(r["formatted"])[0][1] for i, r in got.items()}
+    assert read == {0: "a<|image:0|><|unknown:0|><|unknown:1|><|unknown:2|>", 1: "no json <|", 2: "7", 3: "str</s>", 4: "", 5: "", 6: "<|document:0|>"}
+    assert [(a["kind"], a["ref"], a["tokens"]) for a in got[0]["attachments"]] == [("image", "i.png", 512), ("unknown", "", 0), ("unknown", "", 0), ("unknown", "", 0)] and got[6]["attachments"][0]["tokens"] == 768
+
+
+def test_mixed_sources_of_one_document(spark):
+    rows = [(1, "one two three", "a", 0), (1, "one two three", "b", 0), (None, "x y", "a", 0), (None, "z", "a", 0), (2, "four five", "b", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    taken = {r["_s"]: r["t"] for r in mixing.mix(df, carried=(df["source"].alias("_s"),)).groupBy("_s").agg({"taken": "sum"}).withColumnRenamed("sum(taken)", "t").collect()}
+    got: dict = {}
+    for r in mixing.mixed(df).collect():
+        got[r["source"]] = got.get(r["source"], 0) + len(r["text"].split())
+    assert got == taken and len(got) == 2
+
+
 def test_langid(docs, none):
     m = langid.fit(docs)
     got = {r["doc_id"]: r for r in langid.predict(docs, m).collect()}

@@ -464,6 +464,54 @@ def test_language_on_held_out(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.95
 
 
+def test_language_query_against_brute_force(spark):
+    """Predictions from the definition: n-grams by counting, losses of all codewords by loops."""
+    docs = table(spark, SF, "documents")
+    m = langid.fit(docs)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in queries.QUERIES["op9_langid"](spark, SF).collect()}
+    for r in docs.orderBy("doc_id").select("doc_id", "text").collect():
+        t = r["text"]
+        if not t or not any(c.isalpha() for c in t):
+            assert got[r["doc_id"]] == ("und", 0.0)
+            continue
+        if len(t) > 3000:
+            continue
+        b, x = [c if 97 <= c <= 122 or c >= 128 else 32 for c in t.lower().encode()], Counter()
+        for i, c in enumerate(b):
+            x[c] += 1
+            if i + 1 < len(b):
+                two = c * 257 + b[i + 1]
+                x[(two * 2654435761 & 0xFFFFFFFF) >> 19] += 1
+                if i + 2 < len(b):
+                    three = two * 257 + b[i + 2] + (1 << 24) & 0xFFFFFFFF
+                    x[(three * 2246822519 & 0xFFFFFFFF) >> 19] += 1
+        norm = sum(x.values()) ** 0.5
+        margins = [sum(v**0.5 / norm * float(m.w[k, j]) for k, v in x.items()) + float(m.b[j]) for j in range(m.codes.shape[1])]
+        losses = [sum(float(w) * np.log1p(np.exp(-c * z)) for w, c, z in zip(m.weights, code, margins)) for code in m.codes.tolist()]
+        best = int(np.argmin(losses))
+        assert got[r["doc_id"]][0] == m.languages[best] and got[r["doc_id"]][1] == pytest.approx(1 / sum(np.exp(losses[best] - v) for v in losses), abs=1e-4)
+
+
+def test_html_query_against_all_pages_in_order(spark):
+    """All pages of a host in one list, each with the pages before and after it."""
+    rows = sorted(table(spark, SF, "pages").collect(), key=lambda r: r["page_id"])
+    got = {r["page_id"]: r["text"] for r in queries.QUERIES["op10_html"](spark, SF).collect()}
+    hosts: dict = {}
+    for r in rows:
+        host, _, path = r["url"].partition("://")[2].partition("/")
+        lines, article = html.blocks(r["html"])
+        zones = [z if article else min(z, 1) for _, z in lines]
+        hosts.setdefault(host.lower(), []).append((("/" + path).split("?")[0].split("#")[0], r["page_id"], [t for t, _ in lines], zones))
+    changed = 0
+    for pages in hosts.values():
+        pages.sort(key=lambda x: x[:2])
+        for i, (_, page_id, lines, zones) in enumerate(pages):
+            near = [x[2:] for x in pages[max(0, i - 1) : i] + pages[i + 1 : i + 2]]
+            assert got.pop(page_id) == html.own_text(lines, zones, near)
+            changed += html.own_text(lines, zones, near) != html.own_text(lines, zones, [])
+    assert not got and changed
+
+
 def test_lines_in_common():
     rng = random.Random(6)
     for _ in range(300):
@@ -516,16 +564,77 @@ def test_html_does_not_depend_on_partitions(spark):
     assert got[0] == got[1] == got[2] and len(got[0]) == len(rows) and (5, "own 5") in got[0] and (104, "Other\nown 4") in got[0]
 
 
-def test_pipeline_stages(spark):
+def test_pipeline_stages_against_brute_force(spark):
+    """Each stage on all that the one before kept, held against its definition in plain Python."""
     docs = table(spark, SF, "documents")
-    n = docs.count()
-    kept = corpus_pipeline.language(spark, docs, SF)
-    assert n * 0.9 < kept.count() <= n
-    once = corpus_pipeline.near_duplicates(spark, docs, SF)
-    classes = neardup.classify(docs).select("class_id").distinct().count()
-    assert once.count() == classes == once.select("doc_id").distinct().count()
-    cut = corpus_pipeline.repeats(spark, docs, SF)
-    want = {r["doc_id"]: r["n_bytes"] - r["n_removed"] for r in suffixes.digest(docs).collect()}
-    assert all(abs(len(r["text"].encode()) - want[r["doc_id"]]) <= 12 * 4 and r["n_chars"] == len(r["text"]) for r in cut.collect())
-    out = corpus_pipeline.run(spark, SF).collect()
-    assert out and all(r["offset"] + r["length"] <= 2048 for r in out)
+    columns = docs.columns
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    # 1: those whose language is told
+    model = langid.fit(docs)
+    kept = corpus_pipeline.language(spark, docs, SF).cache()
+    told = {i for i, r in rows.items() if (p := model.predict(r["text"]))[0] != "und" and not p[2]}
+    assert {r["doc_id"] for r in kept.collect()} == told and kept.columns == columns and len(told) > 0.9 * len(rows)
+    # 2: the smallest document of each class of similar or equal texts
+    texts = {i: rows[i]["text"] or "" for i in told}
+    root, same = {i: i for i in texts}, {}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in [*similar_pairs(texts), *((i, same.setdefault(t, i)) for i, t in texts.items())]:
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+    once = corpus_pipeline.near_duplicates(spark, kept, SF).cache()
+    assert {r["doc_id"] for r in once.collect()} == {find(i) for i in texts} and once.columns == columns
+    # 3: bytes covered by 50-byte strings that a smaller document has; a character of which a byte goes, goes whole
+    first: dict = {}
+    left = {r["doc_id"]: (r["text"] or "").encode() for r in once.collect()}
+    for i in sorted(left):
+        for k in range(len(left[i]) - 49):
+            first.setdefault(left[i][k : k + 50], i)
+    want = {}
+    for i, x in left.items():
+        keep = bytearray(b"\1" * len(x))
+        for k in range(len(x) - 49):
+            if first[x[k : k + 50]] < i:
+                keep[k : k + 50] = bytes(50)
+        want[i] = bytes(c for c, f in zip(x, keep) if f).decode("utf-8", "ignore")
+    cut = corpus_pipeline.repeats(spark, once, SF).cache()
+    assert {r["doc_id"]: r["text"] for r in cut.collect()} == want and all(r["n_chars"] == len(r["text"]) for r in cut.collect()) and want != {i: x.decode() for i, x in left.items()}
+    # 4: the words of each source up to its target, no document more than three times
+    mixed = corpus_pipeline.mix(spark, cut, SF).cache()
+    words: Counter = Counter()
+    size: Counter = Counter()
+    often = Counter()
+    for r in cut.collect():
+        size[r["source"]] += len(r["text"].split())
+    for r in mixed.collect():
+        words[r["source"]] += len(r["text"].split())
+        often[r["doc_id"]] += 1
+        assert want[r["doc_id"]] == r["text"] or want[r["doc_id"]].split()[: len(r["text"].split())] == r["text"].split()
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    target: dict = {}
+    while True:
+        level = (sum(size.values()) - sum(target.values())) / sum(weight[s] for s in order if s not in target)
+        over = [s for s in order if s not in target and level * weight[s] > 3 * size[s]]
+        if not over:
+            break
+        target |= {s: 3 * size[s] for s in over}
+    assert all(abs(words[s] - target.get(s, level * weight[s])) <= 0.5 for s in order) and max(often.values()) <= 3
+    # 5: each id of the mix in one piece, sequences without gaps and nearly full
+    own = plain("word_bpe_49k.json")
+    out = corpus_pipeline.pack(spark, mixed, SF).collect()
+    full = Counter((r["doc_id"], zlib.crc32((own(r["text"]) + (1).to_bytes(4, "little"))[:8192]), (len(own(r["text"])) + 4) // 4) for r in mixed.collect())
+    assert Counter((r["doc_id"], r["ids_crc32"], r["doc_tokens"]) for r in out if r["start"] == 0) == full
+    assert sum(r["length"] for r in out) == sum(n * k for (_, _, n), k in full.items())
+    by: dict = {}
+    for r in out:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in sorted(p)[:i]) == o for p in by.values() for i, (o, _) in enumerate(sorted(p))) and all(sum(n for _, n in p) <= 2048 for p in by.values())
+    assert sum(r["length"] for r in out) / (2048 * len(by)) > 0.98
+    # the whole, with its tables written and read again, is the same
+    key = lambda r: (r["doc_id"], r["start"], r["ids_crc32"])
+    assert Counter(map(key, corpus_pipeline.run(spark, SF).collect())) == Counter(map(key, out))
