@@ -251,31 +251,32 @@ def repeated_anchors(docs: DataFrame, buckets: int, length: int) -> DataFrame:
 
 
 def contexts(docs: DataFrame, keys: DataFrame, buckets: int, length: int) -> DataFrame:
-    """Rows of two kinds: places (doc_id, tid, c, start: lists by document), contexts (h, c0, context, doc: once a task, with its smallest document).
+    """Rows of two kinds: places (doc_id, t, c, c2, start: lists by document), contexts (h, c0, c02, context, doc: once a task, with its smallest document).
 
+    A context is named by 96 bits of a hash, c and c2. Of tid, which only tells texts of one doc_id apart, 32 bits go on as t.
     docs: doc_id, tid, b, of each text its smallest document; keys: doc_id, tid, key.
     """
     import pyarrow as pa
 
     by_doc = keys.groupBy("doc_id", "tid").agg(F.collect_list("key").alias("keys"))  # no more than the text has windows
-    joined = docs.join(by_doc, ["doc_id", "tid"]).select("doc_id", "b", "keys", "tid")
-    schema = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("c", pa.list_(pa.int64())), ("start", pa.list_(pa.int32())), ("h", pa.int64()), ("c0", pa.int64()), ("context", pa.binary()), ("doc", pa.int64())])
+    joined = docs.join(by_doc, ["doc_id", "tid"]).select("doc_id", "b", "keys", _short("tid").alias("t"))
+    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int32()), ("c", pa.list_(pa.int64())), ("c2", pa.list_(pa.int32())), ("start", pa.list_(pa.int32())), ("h", pa.int64()), ("c0", pa.int64()), ("c02", pa.int32()), ("context", pa.binary()), ("doc", pa.int64())])
 
     def run(batches):
-        from xxhash import xxh64_intdigest
+        from xxhash import xxh3_128_intdigest
 
-        held: dict[int, list] = {}
+        held: dict[tuple[int, int], list] = {}
         size = 0
 
         def out():
             rows = [*held.items()]
             for i in range(0, len(rows), 5000):
                 part = rows[i : i + 5000]
-                none = pa.nulls(len(part))
-                yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), pa.nulls(len(part), schema.field(2).type), pa.nulls(len(part), schema.field(3).type), pa.array([v[2] for _, v in part], pa.int64()), pa.array([k for k, _ in part], pa.int64()), pa.array([v[1] for _, v in part], pa.binary()), pa.array([v[0] for _, v in part], pa.int64())], schema=schema)
+                own = [[v[2] for _, v in part], [k[0] for k, _ in part], [k[1] for k, _ in part], [v[1] for _, v in part], [v[0] for _, v in part]]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(part), f.type) for f in [*schema][:5]] + [pa.array(x, f.type) for x, f in zip(own, [*schema][5:])], schema=schema)
 
         for b in batches:
-            ids, tids, cs, starts = [], [], [], []
+            ids, tids, cs, c2s, starts = [], [], [], [], []
             for doc_id, x, wanted, tid in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
                 a = anchors(x, length)
                 if not len(a):
@@ -283,11 +284,13 @@ def contexts(docs: DataFrame, keys: DataFrame, buckets: int, length: int) -> Dat
                 lo, hi = runs(a)
                 h = a[lo]
                 on = np.isin(_keys(h, buckets), wanted.values.to_numpy())
-                c = []
+                c, c2 = [], []
                 for s, e, g in zip(lo[on].tolist(), hi[on].tolist(), h[on].view(np.int64).tolist()):
                     context = x[s : e + length - 1]
-                    k = xxh64_intdigest(context) - (1 << 63)
-                    c.append(k)
+                    x128 = xxh3_128_intdigest(context)
+                    k = (x128 & _MASK) - (1 << 63), (x128 >> 96) - (1 << 31)
+                    c.append(k[0])
+                    c2.append(k[1])
                     v = held.get(k)
                     if v is None:
                         held[k] = [doc_id, context, g]
@@ -297,49 +300,54 @@ def contexts(docs: DataFrame, keys: DataFrame, buckets: int, length: int) -> Dat
                 ids.append(doc_id)
                 tids.append(tid)
                 cs.append(c)
+                c2s.append(c2)
                 starts.append(lo[on].astype(np.int32))
             if ids:
-                n = len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tids, pa.int64()), pa.array(cs, schema.field(2).type), pa.array(starts, schema.field(3).type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids, tids, cs, c2s, starts), schema)] + [pa.nulls(len(ids), f.type) for f in [*schema][5:]], schema=schema)
             if size > 100_000_000:
                 yield from out()
                 held.clear()
                 size = 0
         yield from out()
 
-    return joined.mapInArrow(run, "doc_id long, tid long, c array<long>, start array<int>, h long, c0 long, context binary, doc long")
+    return joined.mapInArrow(run, "doc_id long, t int, c array<long>, c2 array<int>, start array<int>, h long, c0 long, c02 int, context binary, doc long")
+
+
+def _short(tid: str) -> F.Column:
+    return F.col(tid).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
 
 
 def owners(found: DataFrame, length: int) -> DataFrame:
-    """c, s, n, m: the windows s .. s + n - 1 of context c are first found in document m."""
+    """c, c2, s, n, m: the windows s .. s + n - 1 of context c, c2 are first found in document m."""
     import pyarrow as pa
 
-    rows = found.where(F.col("c0").isNotNull()).select("h", F.col("c0").alias("c"), "context", "doc")
+    rows = found.where(F.col("c0").isNotNull()).select("h", F.col("c0").alias("c"), F.col("c02").alias("c2"), "context", "doc")
     counts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.sum(F.length("context")).alias("bytes"))
     most = counts.where((F.col("k") > LARGE_ANCHOR) | (F.col("bytes") > LARGE_BYTES)).select("h")
     # one context over and over is settled alone, however long it is
-    large = materialize(rows.join(most, "h", "left_semi").groupBy("h").agg(F.min("c").alias("c"), F.max("c").alias("c2")).where("c < c2").select("h"))
-    names = ["c", "s", "n", "m"]
+    large = materialize(rows.join(most, "h", "left_semi").groupBy("h").agg(F.min(F.struct("c", "c2")).alias("lo"), F.max(F.struct("c", "c2")).alias("hi")).where("lo < hi").select("h"))
+    names = ["c", "c2", "s", "n", "m"]
 
     def emit(done):
-        c, s, n, m = (np.asarray(x) for x in done)
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(m.astype(np.int64))], names)
+        c, c2, s, n, m = (np.asarray(x) for x in done)
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)), pa.array(c2.astype(np.int32)), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(m.astype(np.int64))], names)
 
     def run(batches):
-        block: list[tuple[int, bytes, int]] = []
-        group: dict[int, list] = {}
+        block: list[tuple[tuple[int, int], bytes, int]] = []
+        group: dict[tuple[int, int], list] = {}
         now, size = None, 0
 
         def out():
             c, first, n, m = smallest([x for _, x, _ in block], np.array([d for _, _, d in block], np.int64), length)
-            return emit((np.array([c for c, _, _ in block], np.int64)[c], first, n, m))
+            names = np.array([k for k, _, _ in block], np.int64)[c]
+            return emit((names[:, 0], names[:, 1], first, n, m))
 
         def close():
             """A context that is alone with its anchor is settled; others go to the block."""
             nonlocal size
             if len(group) == 1:
                 ((c, (x, d)),) = group.items()
-                alone.append((c, 0, len(x) - length + 1, d))
+                alone.append((*c, 0, len(x) - length + 1, d))
             else:
                 for c, (x, d) in group.items():
                     block.append((c, x, d))
@@ -348,7 +356,7 @@ def owners(found: DataFrame, length: int) -> DataFrame:
 
         alone: list[tuple] = []
         for b in batches:
-            for h, c, x, d in zip(*(k.to_pylist() for k in b.columns)):
+            for h, c, c2, x, d in zip(*(k.to_pylist() for k in b.columns)):
                 if h != now:
                     if now is not None:
                         close()
@@ -356,9 +364,9 @@ def owners(found: DataFrame, length: int) -> DataFrame:
                         yield out()
                         block, size = [], 0
                     now = h
-                v = group.get(c)
+                v = group.get((c, c2))
                 if v is None:
-                    group[c] = [x, d]
+                    group[c, c2] = [x, d]
                 elif d < v[1]:
                     v[1] = d
             if len(alone) > 5000:
@@ -371,17 +379,17 @@ def owners(found: DataFrame, length: int) -> DataFrame:
         if block:
             yield out()
 
-    few = rows.join(large, "h", "left_anti").repartition("h").sortWithinPartitions("h", "c")
-    normal = few.select("h", "c", "context", "doc").mapInArrow(run, "c long, s int, n int, m long")
+    few = rows.join(large, "h", "left_anti").repartition("h").sortWithinPartitions("h", "c", "c2")
+    normal = few.select("h", "c", "c2", "context", "doc").mapInArrow(run, "c long, c2 int, s int, n int, m long")
     # one row a window, its bytes themselves, for the few anchors with very many contexts or very long ones
-    split = rows.join(large, "h", "left_semi").groupBy("c").agg(F.first("context").alias("context"), F.min("doc").alias("doc"))
-    windows = split.select("c", "doc", "context", F.explode(F.sequence(F.lit(0), F.length("context") - length)).alias("s")).select("c", "s", "doc", F.expr(f"substring(context, s + 1, {length})").alias("w"))
+    split = rows.join(large, "h", "left_semi").groupBy("c", "c2").agg(F.first("context").alias("context"), F.min("doc").alias("doc"))
+    windows = split.select("c", "c2", "doc", "context", F.explode(F.sequence(F.lit(0), F.length("context") - length)).alias("s")).select("c", "c2", "s", "doc", F.expr(f"substring(context, s + 1, {length})").alias("w"))
     least = windows.groupBy("w").agg(F.min("doc").alias("m"))
-    return normal.unionByName(windows.join(least, "w").select("c", "s", F.lit(1).alias("n"), "m"))
+    return normal.unionByName(windows.join(least, "w").select("c", "c2", "s", F.lit(1).alias("n"), "m"))
 
 
 def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, tid, windows (start and number of successive windows that a smaller document has). docs: doc_id, tid, b (bytes).
+    """doc_id, t (32 bits of tid), windows (start and number of successive windows that a smaller document has). docs: doc_id, tid, b (bytes).
 
     A copy of a smaller document loses all; so only the smallest document of each text takes part in the search.
     """
@@ -397,10 +405,10 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     discard(spark, keys)
     own = materialize(owners(found, length))
     discard(spark)
-    places = found.where(F.col("doc_id").isNotNull()).select("doc_id", "tid", F.explode(F.arrays_zip("c", "start")).alias("x")).select("doc_id", "tid", F.col("x.c").alias("c"), F.col("x.start").alias("start"))
-    hits = places.join(own, "c").where("doc_id > m").select("doc_id", "tid", F.struct((F.col("start") + F.col("s")).alias("s"), "n").alias("w"))
-    whole = copies.select("doc_id", "tid", F.array(F.struct(F.lit(0).alias("s"), (F.col("size") - (length - 1)).cast("int").alias("n"))).alias("windows"))
-    out = materialize(hits.groupBy("doc_id", "tid").agg(F.collect_list("w").alias("windows")).unionByName(whole))
+    places = found.where(F.col("doc_id").isNotNull()).select("doc_id", "t", F.explode(F.arrays_zip("c", "c2", "start")).alias("x")).select("doc_id", "t", "x.c", "x.c2", "x.start")
+    hits = places.join(own, ["c", "c2"]).where("doc_id > m").select("doc_id", "t", F.struct((F.col("start") + F.col("s")).alias("s"), "n").alias("w"))
+    whole = copies.select("doc_id", _short("tid").alias("t"), F.array(F.struct(F.lit(0).alias("s"), (F.col("size") - (length - 1)).cast("int").alias("n"))).alias("windows"))
+    out = materialize(hits.groupBy("doc_id", "t").agg(F.collect_list("w").alias("windows")).unionByName(whole))
     discard(spark, slim, found, own)
     return out
 
@@ -439,7 +447,7 @@ def remove(docs: DataFrame, columns: dict[str, str], make, length: int = LENGTH,
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[3:], *[pa.array([r[i] for r in rows], kinds[k]) for i, k in enumerate(columns.values())]], ["doc_id", *carried, *columns])
 
     rest = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carried).schema]
-    return own.join(found, ["doc_id", "tid"], "left").select("doc_id", "b", "windows", *carried).mapInArrow(run, ", ".join(["doc_id long", *rest, *[f"{n} {k}" for n, k in columns.items()]]))
+    return own.withColumn("t", _short("tid")).join(found, ["doc_id", "t"], "left").select("doc_id", "b", "windows", *carried).mapInArrow(run, ", ".join(["doc_id long", *rest, *[f"{n} {k}" for n, k in columns.items()]]))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -429,12 +429,12 @@ def test_anchor_with_more_bytes_than_a_block(spark):
             x[200:300] = rows[-1][2][700:800]
             x[199], x[300] = rows[-1][2][699] ^ 1, rows[-1][2][800] ^ 1
             want |= {(i, s, 10_000 + i - 1) for s in range(200, 251)}
-        rows.append((7, i, bytes(x), 10_000 + i))
-    rows += [(8, 5_000, b"a" * 3_000_000, 1), (8, 5_000, b"a" * 3_000_000, 2)]
-    df = spark.createDataFrame(rows, "h long, c0 long, context binary, doc long")
+        rows.append((7, i, bytes(x), 10_000 + i, 0))
+    rows += [(8, 5_000, b"a" * 3_000_000, 1, 0), (8, 5_000, b"a" * 3_000_000, 2, 0)]
+    df = spark.createDataFrame(rows, "h long, c0 long, context binary, doc long, c02 int")
     got = suffixes.owners(df, 50).where("(m < 10000 or m != 10000 + c)").collect()
     assert {(r["c"], s, r["m"]) for r in got if r["c"] < 5_000 for s in range(r["s"], r["s"] + r["n"])} == want
-    assert [tuple(r) for r in got if r["c"] == 5_000] == [(5_000, 0, 3_000_000 - 49, 1)]
+    assert [tuple(r) for r in got if r["c"] == 5_000] == [(5_000, 0, 0, 3_000_000 - 49, 1)]
     with pytest.raises(ValueError, match="below"):
         suffixes.difference_cover(np.ones(1 << 21, np.int64), 1, 50)
 
