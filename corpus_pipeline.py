@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillguard.llm import langid, mixing, neardup, packing, suffixes
-from quillguard.llm.common import shared_dir, table
+from quillguard.llm.common import drop, shared_dir, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +40,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. The table of each other stage is deleted once the next one's is written."""
     docs = table(spark, sf_dir, "documents")
     folder = shared_dir(spark)
     for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
+        before, out = docs, stage(spark, docs, sf_dir)
         path = f"{folder}/{k}-{name}"
         out.write.parquet(path)
+        if k:
+            drop(before)
         docs = spark.read.schema(out.schema).parquet(path)
+        docs._stored = path
     return docs
