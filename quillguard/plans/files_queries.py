@@ -386,3 +386,53 @@ def _only(spark, d):
     n = F.size("findings").cast("int")
     one = with_findings(text, Registry().only(["EMAIL"])).select("k", n.alias("email"))
     return one.join(with_findings(text, Registry().disable("email").disable("phone")).select("k", n.alias("others")), "k")
+
+
+def _compound(streams: dict[str, bytes]) -> bytes:
+    """A compound file with all of its streams in large sectors."""
+    import struct
+
+    size, last, free = 512, 0xFFFFFFFE, 0xFFFFFFFF
+    data, fat, begins = bytearray(), [], {}
+
+    def add(raw: bytes) -> int:
+        """Its first sector."""
+        at, n = len(fat), max(1, -(-len(raw) // size))
+        fat.extend([*range(at + 1, at + n), last])
+        data.extend(raw.ljust(n * size, b"\0"))
+        return at
+
+    for k, v in streams.items():
+        begins[k] = add(v)
+    entries = b""
+    for i, k in enumerate(["Root Entry", *streams]):
+        raw, leaf = k.encode("utf-16-le") + b"\0\0", i > 0
+        after = i + 1 if leaf and i < len(streams) else free
+        kind = struct.pack("<HBBIII", len(raw), 2 if leaf else 5, 1, free, after, free if leaf else 1)
+        entries += raw.ljust(64, b"\0") + kind + bytes(36) + struct.pack("<IQ", begins.get(k, last), len(streams.get(k, b"")))
+    folder = add(entries)
+    table_at = len(fat)
+    fat.append(0xFFFFFFFD)
+    data.extend(struct.pack(f"<{size // 4}I", *fat, *[free] * (size // 4 - len(fat))))
+    head = bytes.fromhex("d0cf11e0a1b11ae1") + bytes(16) + struct.pack("<5H", 62, 3, 0xFFFE, 9, 6) + bytes(10) + struct.pack("<9I", 1, folder, 0, 0, last, 0, last, 0, table_at)
+    return head.ljust(size, b"\xff") + bytes(data)
+
+
+@query("parse_msg", _each("'a' || k || '@b.de' AS content, 'from' AS at_field", "'Hi ' || name, 'subject'", "'body of ' || k, 'body'"))
+def _msgs(spark, d):
+    @F.udf("binary", useArrow=True)
+    def made(k, name):
+        return _compound({"__substg1.0_0037001F": f"Hi {name}".encode("utf-16-le"), "__substg1.0_0C1F001F": f"a{k}@b.de".encode("utf-16-le"), "__substg1.0_1000001E": f"body of {k}".encode()})
+
+    return _segments(_files(spark, d, "msg", made("k", "name")), "field")
+
+
+@query("api_scan", "SELECT 'email' AS category, count(*) AS n, count(*) AS segments, false AS values FROM nation")
+def _api(spark, d):
+    """One text at a time: all nations in one, the phone numbers in it left out by category, values hidden."""
+    from .. import api
+
+    text = "\n".join(f"{r['n_name']} u{r['n_nationkey']}@example.org +49 89 1234567" for r in table(spark, d, "nation").collect())
+    got = api.scan(spark, text, categories=("email",))
+    rows = [(k, n, got["stats"]["segments"], any("matched_text" in x for x in got["findings"])) for k, n in got["stats"]["category_counts"].items()]
+    return spark.createDataFrame(rows, "category string, n long, segments long, values boolean")

@@ -304,3 +304,13 @@ def _cut(spark, d):
 def _sums(spark, d):
     s = audit.summary(detect(documents(spark, d), Registry().only(["email", "credit_card"])))
     return spark.createDataFrame([*s["by_category"].items(), ("total", s["total"])], "category string, n long")
+
+
+@query("dictionary_presets", "SELECT o_orderkey AS k, 'names' AS preset, 'Anna' AS matched_text FROM orders UNION ALL SELECT o_orderkey, 'places', 'Berlin' FROM orders UNION ALL SELECT o_orderkey, 'all', unnest(['Anna', 'Berlin']) FROM orders")
+def _presets(spark, d):
+    """What each preset of categories looks for; a dictionary that is taken out of the registry isn't looked into."""
+    text, c = built(spark, d, F.lit("Anna xqz Berlin Wien")), dictionary.Config
+    registry = dictionary.builtin_registry()
+    registry.unload("cities_at")
+    out = [dictionary.detect_names(text, registry, p.without_fuzzy()).select("k", F.lit(n).alias("preset"), "matched_text") for n, p in (("names", c.names_only()), ("places", c.locations_only()), ("all", c.all_categories()))]
+    return out[0].unionByName(out[1]).unionByName(out[2])
