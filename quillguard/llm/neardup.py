@@ -28,7 +28,7 @@ from .graph import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: With one word in nine changed at random (similarity 0.8) one sketch agrees with a chance of about 0.15, none of 24 with 0.02; at 0.85 none with 0.001.
+#: With one word in nine changed at random (similarity 0.8) one sketch agrees with a chance of about 0.15, none of 24 with 0.02; at 0.85 none with 0.0015.
 SKETCHES = 24
 ORDER = 2
 #: Members of a group in pieces up to which all pairs of different pieces are compared.
