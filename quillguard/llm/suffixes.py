@@ -471,7 +471,7 @@ def settled(packed: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]
             yield from settle(held, hot, True)
 
     kinds = "doc long, name long, start int, s int, n int, m long, context binary, places binary"
-    found = materialize(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, kinds))
+    found = _step(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, kinds))
     normal = found.where("context is null").drop("context", "places")
     large = found.where("context is not null").select(F.md5("context").alias("c"), "context", "doc", "places")
     if large.isEmpty():
@@ -506,6 +506,17 @@ def settled(packed: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]
     return normal.unionByName(rest), [found]
 
 
+def _step(df: DataFrame) -> DataFrame:
+    """materialize(); the step's shuffle files go with its end, not when the driver's garbage is collected."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return materialize(df)
+    finally:
+        conf.set(key, before)
+
+
 def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, t (32 bits of tid), windows (start and number of successive windows that a smaller document has, 32 bits each). docs: doc_id, tid, b (bytes).
 
@@ -514,16 +525,16 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = docs.sparkSession
     bound_batches(spark)
     own = slots(spark)
-    slim = materialize(docs.where(F.length("b") >= length).select("doc_id", "tid", F.md5("b").alias("digest"), F.length("b").alias("size")).distinct())
+    slim = _step(docs.where(F.length("b") >= length).select("doc_id", "tid", F.md5("b").alias("digest"), F.length("b").alias("size")).distinct())
     texts = slim.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("tid").alias("tid"))
     copies = slim.join(texts.select("digest", F.col("doc_id").alias("first")), "digest").where("doc_id > first")
     by_text = repeated_anchors(docs, own, length).groupBy("tid").agg(F.collect_list("key").alias("keys"))  # no more than the text has windows
-    keys = materialize(by_text.join(texts.select("doc_id", "tid"), "tid"))
+    keys = _step(by_text.join(texts.select("doc_id", "tid"), "tid"))
     hits, stored = settled(contexts(docs, keys, own, length), length)
     drop(keys)
     found = hits.select(F.col("doc").alias("doc_id"), F.col("name").cast("int").alias("t"), (F.shiftleft((F.col("start") + F.col("s")).cast("long"), 32) + F.col("n")).alias("w"))
     whole = copies.select("doc_id", _short("tid").alias("t"), F.array((F.col("size") - (length - 1)).cast("long")).alias("windows"))
-    out = materialize(found.groupBy("doc_id", "t").agg(F.collect_list("w").alias("windows")).unionByName(whole))
+    out = _step(found.groupBy("doc_id", "t").agg(F.collect_list("w").alias("windows")).unionByName(whole))
     drop(slim, *stored)
     return out
 
