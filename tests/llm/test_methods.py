@@ -420,12 +420,8 @@ def test_suffixes_against_brute_force(spark, monkeypatch):
         assert Counter(tuple(r) for r in suffixes.digest(df).collect()) == want
 
 
-def test_suffixes_shuffle_little_where_only_short_strings_repeat(spark):
-    """Prose of few words: 16 bytes repeat by chance nearly everywhere, 50 bytes hardly. Shuffled are 0.35 bytes a byte of text, 1.19 before."""
-    rng = random.Random(8)
-    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 9))) for _ in range(300)]
-    rows = [(i, " ".join(rng.choices(words, k=700))) for i in range(600)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+def shuffled(spark, run) -> int:
+    """Bytes that run() writes to shuffles."""
     store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark._jvm
 
     def written():
@@ -434,8 +430,19 @@ def test_suffixes_shuffle_little_where_only_short_strings_repeat(spark):
         return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
 
     before = written()
-    got = suffixes.digest(df).agg(F.sum("n_bytes").alias("all"), F.sum("n_removed").alias("gone")).first()
-    assert got["gone"] < 0.01 * got["all"] and (written() - before) / got["all"] < 0.7
+    run()
+    return written() - before
+
+
+def test_suffixes_shuffle_little_where_only_short_strings_repeat(spark):
+    """Prose of few words: 16 bytes repeat by chance nearly everywhere, 50 bytes hardly. Shuffled are 0.35 bytes a byte of text, 1.19 before, by the query and by the stage of the pipeline."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 9))) for _ in range(300)]
+    rows = [(i, " ".join(rng.choices(words, k=700)), "en") for i in range(600)]
+    size = sum(len(x) for _, x, _ in rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("n_chars", F.length("text").cast("long")).repartition(4).localCheckpoint()
+    assert shuffled(spark, lambda: suffixes.digest(df).agg(F.sum("n_removed")).collect()) < 0.7 * size
+    assert shuffled(spark, lambda: corpus_pipeline.repeats(spark, df, "").agg(F.sum("n_chars")).collect()) < 0.7 * size
 
 
 def test_suffixes_leave_no_shuffle_files_of_finished_steps(spark, monkeypatch):
