@@ -323,6 +323,40 @@ def test_encoders_equal_the_library(texts, name, pieces):
     assert [e.encode(t) for t in odd] == [*map(own, odd)]
 
 
+@pytest.mark.parametrize("name, pieces", [("byte_bpe_50k.json", encoding.BYTE_PIECES), ("word_bpe_49k.json", encoding.WORD_PIECES)])
+@pytest.mark.parametrize("most", [encoding.KEPT, 60])
+def test_encoders_cut_lines_as_the_library(monkeypatch, name, pieces, most):
+    import public_tokenizers
+
+    monkeypatch.setattr(encoding, "KEPT", most)
+    rng = random.Random(7)
+    words = ["the", "The", "İ", "é", "ß", "foo", "bar12", "it's", "x,", "end.", "end.%%%", "(,", "’", "你好", "naïve.", "A!", "1.", "ńa", "Σ", "q" * 60]
+    gaps = [" ", " ", " ", "\n", "\n", "  ", "\n\n", " \n", "\n ", "\t", "\r\n", "\x85", "　", "\n\n\n ", " \n\n", "\t\n", "\n\t", ""]
+    texts = ["".join(rng.choice(words) + rng.choice(gaps[: rng.choice((4, 5, 18))]) for _ in range(rng.randrange(25))) + rng.choice(gaps) for _ in range(5000)]
+    e, own = encoding.CachedEncoder(public_tokenizers.path(name), pieces), plain(name)
+    assert [x for i in range(0, len(texts), 50) for x in e.encode_many(texts[i : i + 50])] == [*map(own, texts)]
+    # ids of what isn't kept don't stay
+    assert len(e.kept) <= most and e.ids.n <= 1.1 * len(e.kept) + 10
+
+
+@pytest.mark.parametrize("name, pieces", [("byte_bpe_50k.json", encoding.BYTE_PIECES), ("word_bpe_49k.json", encoding.WORD_PIECES)])
+def test_encoders_look_a_piece_up_once_for_many_texts(name, pieces):
+    import public_tokenizers
+
+    class Counting(dict):
+        n = 0
+
+        def get(self, *a):
+            Counting.n += 1
+            return super().get(*a)
+
+    e = encoding.CachedEncoder(public_tokenizers.path(name), pieces)
+    e.kept = Counting()
+    texts = ["one two three four.\nfive six seven, " * 50 + "end"] * 40
+    assert e.encode_many(texts) == [plain(name)(texts[0])] * 40
+    assert Counting.n < 40
+
+
 def test_records_round_trip_and_damage(spark, tmp_path, texts):
     def enc():
         return lambda ts: [np.array([ord(c) for c in t], "<u4").tobytes() for t in ts]
