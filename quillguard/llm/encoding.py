@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 import re
+import threading
+import time
 from array import array
 from itertools import compress, repeat
 
@@ -34,6 +36,8 @@ KEPT_CHARS = 48
 #: Characters of the texts cut at once, and new pieces in one string for the tokenizer.
 TOGETHER = 4_000_000
 JOINED = 2000
+#: Seconds without a text after which a worker, which other steps use again, drops what it keeps.
+IDLE = 4
 
 
 class _Ids:
@@ -67,7 +71,8 @@ class CachedEncoder:
 
     _of: dict = {}
 
-    def __init__(self, path: str, pieces: re.Pattern):
+    def __init__(self, path: str, pieces: re.Pattern, part: float = 1):
+        """part: of the pieces kept and the characters cut at once, for less memory."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -80,18 +85,19 @@ class CachedEncoder:
         #: Part of a text (_key) -> its number in ids.
         self.kept: dict[str, int] = {}
         self.ids = _Ids()
-        self.refused = 0
+        self.refused, self.most, self.together = 0, int(KEPT * part), int(TOGETHER * part)
+        self._lock, self._used, self._watched = threading.Lock(), 0.0, False
         #: By id: whether a word ends with it, or its number of bytes (a byte is one character of such a vocabulary).
         self.sizes = np.zeros(max(self.t.get_vocab().values()) + 1, np.int64)
         for token, i in self.t.get_vocab().items():
             self.sizes[i] = token.endswith("</w>") if self.folds else len(token)
 
     @classmethod
-    def of(cls, path: str, pieces: re.Pattern) -> "CachedEncoder":
+    def of(cls, path: str, pieces: re.Pattern, part: float = 1) -> "CachedEncoder":
         """One a worker process."""
-        key = (path, pieces.pattern)
+        key = (path, pieces.pattern, part)
         if key not in cls._of:
-            cls._of[key] = cls(path, pieces)
+            cls._of[key] = cls(path, pieces, part)
         return cls._of[key]
 
     def direct(self, texts: list[str]) -> list[bytes]:
@@ -101,6 +107,25 @@ class CachedEncoder:
         return self.encode_many([text])[0]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
+        with self._lock:
+            try:
+                return self._all(texts)
+            finally:
+                self._used = time.monotonic()
+                if not self._watched:
+                    self._watched = True
+                    threading.Thread(target=self._drop_when_idle, daemon=True).start()
+
+    def _drop_when_idle(self) -> None:
+        while True:
+            time.sleep(max(0.05, self._used + IDLE - time.monotonic()))
+            with self._lock:
+                if time.monotonic() >= self._used + IDLE:
+                    self.kept, self.ids, self.refused, self._watched = {}, _Ids(), 0, False
+                    pa.default_memory_pool().release_unused()
+                    return
+
+    def _all(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         group, size = [], 0
         for i, text in enumerate(texts):
@@ -109,7 +134,7 @@ class CachedEncoder:
                 continue
             group.append(i)
             size += len(text)
-            if size > TOGETHER:
+            if size > self.together:
                 self._some(texts, group, out)
                 group, size = [], 0
         if group:
@@ -200,13 +225,13 @@ class CachedEncoder:
             own |= self._added(long)
         put(np.flatnonzero(~stay))
         more = len(short) + int(stay.sum()) + len(words) * self.folds
-        if len(kept) + more <= KEPT:
+        if len(kept) + more <= self.most:
             kept.update(zip(short, map(own.get, short)))
             if self.folds:
                 kept.update(zip(words, of_words.tolist()))
             kept.update(zip(compress(others, stay), out[at[stay]].tolist()))
             return out, end
-        if (refused := self.refused + more) < KEPT:
+        if (refused := self.refused + more) < self.most:
             self.refused = refused  # what came first is what is common
             return out, before
         kept.clear()  # other texts by now

@@ -142,7 +142,8 @@ def default_encoder():
     def encode():
         from quillguard.llm.encoding import WORD_PIECES, CachedEncoder
 
-        return CachedEncoder.of(path, WORD_PIECES).encode_many
+        # in the pipeline, executors have grown by then
+        return CachedEncoder.of(path, WORD_PIECES, 0.3).encode_many
 
     return encode
 

@@ -357,6 +357,22 @@ def test_encoders_look_a_piece_up_once_for_many_texts(name, pieces):
     assert Counting.n < 40
 
 
+def test_idle_encoders_keep_nothing(monkeypatch):
+    import time
+
+    import public_tokenizers
+
+    monkeypatch.setattr(encoding, "IDLE", 0.5)
+    e = encoding.CachedEncoder(public_tokenizers.path("word_bpe_49k.json"), encoding.WORD_PIECES)
+    for _ in range(2):
+        want = plain("word_bpe_49k.json")("one two three")
+        assert e.encode("one two three") == want and e.kept
+        end = time.monotonic() + 20
+        while e.kept and time.monotonic() < end:
+            time.sleep(0.1)
+        assert not e.kept and e.ids.n == 1
+
+
 def test_records_round_trip_and_damage(spark, tmp_path, texts):
     def enc():
         return lambda ts: [np.array([ord(c) for c in t], "<u4").tobytes() for t in ts]
