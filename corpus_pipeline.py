@@ -30,7 +30,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, packing.default_encoder())
+    # executors have grown by then
+    return packing.pack(docs, packing.default_encoder(0.3))
 
 
 STAGES = [("language_id", language), ("near_duplicates", near_duplicates), ("repeats", repeats), ("mixing", mix), ("packing", pack)]

@@ -134,7 +134,8 @@ def pack(docs: DataFrame, encode, capacity: int = CAPACITY, end_id: int = END_ID
     return ranked.mapInArrow(assign, ", ".join(f"{n} long" for n in [*names, "sequence_id", "offset"]))
 
 
-def default_encoder():
+def default_encoder(part: float = 1):
+    """part: of the memory for kept pieces."""
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -142,8 +143,7 @@ def default_encoder():
     def encode():
         from quillguard.llm.encoding import WORD_PIECES, CachedEncoder
 
-        # in the pipeline, executors have grown by then
-        return CachedEncoder.of(path, WORD_PIECES, 0.3).encode_many
+        return CachedEncoder.of(path, WORD_PIECES, part).encode_many
 
     return encode
 
