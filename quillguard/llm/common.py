@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import gc
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import fs_of  # noqa: F401
+
 #: A word: a run of characters other than the space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in an Arrow batch; Spark's own byte limit on batches holds besides.
@@ -122,14 +123,3 @@ def hot_safe_rank(df: DataFrame, keys: list[str], order: list[Column], per_bucke
     ranked = b.withColumn("_in", F.coalesce(F.sum(value).over(inner), F.lit(0)).cast("long"))
     cond = [*on(ranked, per), ranked["_b"] == per["_b"]]
     return ranked.join(per, cond, "inner").select(*[ranked[c] for c in df.columns if c != "_h"], (ranked["_in"] + per["_before"]).alias(out))
-
-
-def fs_of(uri: str):
-    """pyarrow's file system and path of a URI: executors write shard files where all can read them."""
-    from pyarrow import fs
-
-    if "://" not in uri and not uri.startswith("file:"):
-        uri = "file://" + os.path.abspath(uri)
-    if uri.startswith("file:") and not uri.startswith("file://"):
-        uri = "file://" + uri[5:]
-    return fs.FileSystem.from_uri(uri)

@@ -10,12 +10,14 @@ import re
 import uuid
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from itertools import accumulate
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import crypto
+from ..sources import storage
 
 OPERATIONS = ("scan", "protect", "batch", "discover", "encrypt", "decrypt", "tokenize", "detokenize", "hash", "policy", "export")
 SCHEMA = (
@@ -65,29 +67,81 @@ def verify_chain(log: DataFrame, key: bytes | None = None) -> DataFrame:
     return linked.select("seq", "id", bad.alias("problem")).where(F.col("problem").isNotNull()).orderBy("seq")
 
 
+#: Entries that one task sorts.
+RANGE = 250_000
+
+
+def _ranged(rows: DataFrame, by: str, path: str) -> DataFrame:
+    """The rows in the order of a column, one sorted file a range of it, with _r and _i: the range and the place in it, from 0."""
+    spark, n = rows.sparkSession, rows.count()
+    ranges = max(-(-n // RANGE), min(spark.sparkContext.defaultParallelism, -(-n // 10_000)), 1)
+    placed = rows.repartitionByRange(ranges, by).sortWithinPartitions(by).withColumn("_id", F.monotonically_increasing_id())
+    out = placed.select(*rows.columns, F.shiftright("_id", 33).cast("int").alias("_r"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_i"))
+    out.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
+def numbered(rows: DataFrame, by: str, into: str = "seq") -> DataFrame:
+    """Adds each row's place in the order of a column, from 1. Ranges are sorted apart and moved by the rows before them."""
+    spark = rows.sparkSession
+    own = _ranged(rows, by, storage.scratch(spark) + "/ranges")
+    sizes = sorted(tuple(r) for r in own.groupBy("_r").agg((F.max("_i") + 1).alias("n")).collect())  # one row a range
+    starts = spark.createDataFrame([(r, s) for (r, _), s in zip(sizes, accumulate((n for _, n in sizes), initial=0))], "_r int, _start long")
+    return own.join(F.broadcast(starts), "_r").select(*rows.columns, (F.col("_start") + F.col("_i") + 1).alias(into))
+
+
 def chain(entries: DataFrame, key: bytes | None = None) -> DataFrame:
     """Adds checksum and previous_checksum to entries (SCHEMA without them) in the order of seq.
 
-    Each checksum needs the one before, so this is one task by nature; a log of one writer is short next to what it tells of.
+    Each checksum needs the one before, so one task goes through all contents. It sorts and holds nothing: ranges of seq lie sorted in
+    files, it reads them one after the other and writes a file of checksums for each. All else is done by ranges in parallel. Runs when called.
     """
     import pyarrow as pa
 
-    body = entries.withColumn("_c", _content()).orderBy("seq").coalesce(1)
-    names = [c for c in entries.columns]
-
-    def run(batches):
-        last = ""
+    spark, names = entries.sparkSession, list(entries.columns)
+    root = storage.scratch(spark)
+    own = _ranged(entries.withColumn("_c", _content()), "seq", root + "/entries")
+    place = lambda r: f"sums-{r:05}.parquet"
+
+    def link(batches):
+        from pyarrow import fs
+        from pyarrow import parquet as pq
+
+        yield from batches
+        at, path = storage.fs_of(root)
+        parts = {int(m[1]): f.path for f in at.get_file_info(fs.FileSelector(path + "/entries")) if (m := re.match(r"part-(\d+)", f.base_name))}
+        last = None
+        for r in sorted(parts):
+            sums = [last]  # what is before the first entry
+            with at.open_input_file(parts[r]) as f:
+                for b in pq.ParquetFile(f).iter_batches(10_000, columns=["_c"]):
+                    for c in b.column(0).to_pylist():
+                        data = f"{c}|{last or ''}".encode()
+                        last = hmac.digest(key, data, "sha256").hex() if key else hashlib.sha256(data).hexdigest()
+                        sums.append(last)
+            pq.write_table(pa.table({"s": pa.array(sums, pa.string())}), f"{path}/{place(r)}", filesystem=at, compression="zstd")
+
+    def linked(batches):
+        from pyarrow import parquet as pq
+
+        at, path = storage.fs_of(root)
+        held, sums = None, None
         for b in batches:
-            sums, befores = [], []
-            for c in b.column(b.schema.get_field_index("_c")).to_pylist():
-                befores.append(last or None)
-                data = f"{c}|{last}".encode()
-                last = hmac.new(key, data, hashlib.sha256).hexdigest() if key else hashlib.sha256(data).hexdigest()
-                sums.append(last)
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(n)) for n in names] + [pa.array(sums, pa.string()), pa.array(befores, pa.string())], [*names, "checksum", "previous_checksum"])
-
+            of = b.column(b.schema.get_field_index("_r")).to_pylist()
+            cuts = [0, *(k for k in range(1, len(of)) if of[k] != of[k - 1]), len(of)]
+            for start, end in zip(cuts, cuts[1:]):
+                if start == end:
+                    continue
+                if of[start] != held:
+                    held = of[start]
+                    sums = pq.read_table(f"{path}/{place(held)}", filesystem=at)["s"].combine_chunks()
+                x = b.slice(start, end - start)
+                i = x.column(x.schema.get_field_index("_i")).to_numpy()
+                yield pa.RecordBatch.from_arrays([x.column(x.schema.get_field_index(n)) for n in names] + [sums.take(pa.array(i + 1)), sums.take(pa.array(i))], [*names, "checksum", "previous_checksum"])
+
+    spark.range(0, 1, numPartitions=1).mapInArrow(link, "id long").count()
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in entries.schema)
-    return body.mapInArrow(run, f"{kinds}, checksum string, previous_checksum string")
+    return own.drop("_c").mapInArrow(linked, f"{kinds}, checksum string, previous_checksum string")
 
 
 @dataclass(frozen=True)

@@ -167,3 +167,29 @@ def test_audit(spark, tmp_path):
     assert "secret" not in next((tmp_path / "s").glob("*.enc.jsonl")).read_text() and secret.read().first()["parameters"]["input"] == "/secret" and secret.verify().count() == 0
     with pytest.raises(ValueError):
         log.log("x")
+
+
+def test_chain_by_ranges(spark, monkeypatch):
+    """No task sorts all entries; ranges of the order give the chain of one pass."""
+    import hashlib
+    import hmac
+
+    n, schema = 95, "seq long, id string, timestamp string, operation string, parameters struct<input:string>, outcome struct<success:boolean>"
+    rows = [(i * 3, f"id{i}", "2024-01-01", "scan", (f"/in/é{i}",), (True,)) for i in range(1, n + 1)]
+    df = spark.createDataFrame(rows[::-1], schema).repartition(5)
+    for size in (10, 1000):
+        monkeypatch.setattr(audit, "RANGE", size, raising=False)
+        for key in (b"k", None):
+            log = audit.chain(df, key)
+            plan = log._jdf.queryExecution().toString()
+            assert "Coalesce 1" not in plan and "SinglePartition" not in plan and log.columns == [*df.columns, "checksum", "previous_checksum"]
+            last = None
+            for r in sorted(log.select("*", audit._content().alias("c")).collect(), key=lambda r: r["seq"]):
+                data = f"{r['c']}|{last or ''}".encode()
+                want = hmac.new(key, data, "sha256").hexdigest() if key else hashlib.sha256(data).hexdigest()
+                assert (r["previous_checksum"], r["checksum"]) == (last, want)
+                last = want
+            assert log.count() == n and audit.verify_chain(log, key).count() == 0
+        got = audit.numbered(df.select("seq"), "seq", "n").collect()
+        assert sorted((r["n"], r["seq"]) for r in got) == [(i, i * 3) for i in range(1, n + 1)]
+    assert audit.chain(df.limit(0), b"k").count() == 0
