@@ -473,7 +473,8 @@ def _statistics(spark, d):
 @query("audit_chain_verify", "SELECT 500 AS seq, 'checksum' AS problem")
 def _audit(spark, d):
     """One changed entry of a chain over all orders is found."""
-    e = table(spark, d, "orders").select(F.row_number().over(audit.Window.orderBy("o_orderkey")).cast("long").alias("seq"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("timestamp"), F.lit("scan").alias("operation"), F.struct(F.col("o_custkey").cast("string").alias("input")).alias("parameters"), F.struct(F.lit(True).alias("success")).alias("outcome"))
+    o = audit.numbered(table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_custkey"), "o_orderkey")
+    e = o.select("seq", F.sha2(F.col("o_orderkey").cast("string"), 256).alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("timestamp"), F.lit("scan").alias("operation"), F.struct(F.col("o_custkey").cast("string").alias("input")).alias("parameters"), F.struct(F.lit(True).alias("success")).alias("outcome"))
     log = audit.chain(e, b"key")
     tampered = log.withColumn("id", F.when(F.col("seq") == 500, F.lit("x")).otherwise(F.col("id")))
     return audit.verify_chain(tampered, b"key").select(F.col("seq").cast("int").alias("seq"), "problem")
