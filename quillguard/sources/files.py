@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,32 +56,66 @@ def sniffed(files: DataFrame) -> DataFrame:
     return files.withColumn("format", formats.detect_format(F.col("content"), F.col("path"))).withColumn("encoding", formats.encoding_of(F.col("content")))
 
 
-def parsed(files: DataFrame, max_size: int = MAX_FILE_SIZE, **options) -> DataFrame:
-    """files with content and format: content gone, segments, warnings, error_kind and error in its place. Too large a file is an error, not read further."""
-
-    @F.udf(_PARSED, useArrow=True)
-    def run(content, format):
-        from quillguard.sources.parsers import ParseError, parse_bytes
+#: Parsed segments leave a worker in portions of some bytes (or those of one file): the file's own, and so many for each segment.
+FLUSH, SEGMENT_WEIGHT = 8 << 20, 400
 
-        try:
-            s, w = parse_bytes(bytes(content or b""), format, **options.get(format, {}))
-            return {"segments": [_full(x) for x in s], "warnings": w, "error_kind": None, "error": None}
-        except ParseError as e:
-            return {"segments": [], "warnings": [], "error_kind": e.kind, "error": str(e)}
-        except Exception as e:  # a damaged file must not end the job
-            return {"segments": [], "warnings": [], "error_kind": "parse_error", "error": f"{type(e).__name__}: {e}"}
 
+def parsed(files: DataFrame, max_size: int = MAX_FILE_SIZE, **options) -> DataFrame:
+    """files with content and format: content gone, segments, warnings, error_kind and error in its place. Too large a file is an error, not read further."""
     big = F.col("size_bytes") > max_size if "size_bytes" in files.columns else F.length("content") > max_size
-    p = F.when(~big, run("content", "format"))
-    out = files.withColumn("_p", p).drop("content")
-    return out.select(*[c for c in out.columns if c != "_p"], F.coalesce("_p.segments", F.array().cast(T.ArrayType(SEGMENT))).alias("segments"), F.coalesce("_p.warnings", F.array().cast(T.ArrayType(WARNING))).alias("warnings"), F.when(F.col("_p").isNull(), "file_too_large").otherwise(F.col("_p.error_kind")).alias("error_kind"), F.when(F.col("_p").isNull(), "the file is too large").otherwise(F.col("_p.error")).alias("error"))
-
+    small = F.coalesce(~big, F.lit(False))
+    rest = [f for f in files.schema if f.name != "content"]
+    out = T.StructType([*[T.StructField(f.name, f.dataType) for f in rest], *_PARSED])
 
-_FIELDS = SEGMENT["position"].dataType.fieldNames()
+    def run(batches):
+        import pyarrow as pa
 
+        from quillguard.sources.parsers import ParseError, parse_bytes
 
-def _full(s: dict) -> dict:
-    return {"content": s["content"], "position": {n: s["position"].get(n) for n in _FIELDS}}
+        def one(content, format):
+            try:
+                return *parse_bytes(bytes(content or b""), format, **options.get(format, {})), None, None
+            except ParseError as e:
+                return [], [], e.kind, str(e)
+            except Exception as e:  # a damaged file must not end the job
+                return [], [], "parse_error", f"{type(e).__name__}: {e}"
+
+        for b in batches:
+            content, form, ok = (b.column(b.schema.get_field_index(n)) for n in ("content", "format", "_small"))
+            kept = [b.column(b.schema.get_field_index(f.name)) for f in rest]
+            start, found, weight = 0, [], 0
+            for i in range(b.num_rows):
+                raw = content[i].as_py()
+                found.append(one(raw, form[i].as_py()) if ok[i].as_py() else ([], [], "file_too_large", "the file is too large"))
+                weight += SEGMENT_WEIGHT * len(found[-1][0]) + len(raw or b"")
+                if weight >= FLUSH or i == b.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([*[c.slice(start, len(found)) for c in kept], *_arrays(found)], out.names)
+                    start, found, weight = i + 1, [], 0
+
+    # not a function of a column: a filter on its result would be inferred and run it a second time, before the rows are dealt out
+    return files.withColumns({"_small": small, "content": F.when(small, F.col("content"))}).mapInArrow(run, out)
+
+
+def _arrays(found: list[tuple]) -> list:
+    """The columns of _PARSED of (segments, warnings, error_kind, error), column by column: places have few of their fields."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds = [to_arrow_type(f.dataType) for f in _PARSED]
+    one = kinds[0].value_type
+    place = one.field("position").type
+    try:
+        flat, ends = [x for f in found for x in f[0]], [0, *accumulate(len(f[0]) for f in found)]
+        used = {n for x in flat for n in x["position"]}
+        at = [pa.array([x["position"].get(f.name) for x in flat], f.type) if f.name in used else pa.nulls(len(flat), f.type) for f in place]
+        made = pa.StructArray.from_arrays([pa.array([x["content"] for x in flat], one.field("content").type), pa.StructArray.from_arrays(at, fields=list(place))], fields=list(one))
+        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), made, type=kinds[0]), *[pa.array([f[i] for f in found], kinds[i]) for i in (1, 2, 3)]]
+    except (pa.ArrowException, UnicodeError, OverflowError) as e:  # what no column can hold, as half a surrogate pair: an error of its file alone
+        if len(found) > 1:
+            return [pa.concat_arrays(x) for x in zip(*[_arrays([f]) for f in found])]
+        if found[0][2]:
+            return _arrays([([], [], found[0][2], ascii(found[0][3]))])
+        return _arrays([([], [], "parse_error", f"{type(e).__name__}: {ascii(str(e))}")])
 
 
 def segments(parsed: DataFrame, keep: tuple[str, ...] = ("path", "format")) -> DataFrame:
@@ -126,8 +162,6 @@ def csv_stream(spark: SparkSession, *paths: str, delimiter: str = ",", has_heade
 def _starts(lengths: Column) -> Column:
     @F.udf("array<int>", useArrow=True)
     def run(ns):
-        from itertools import accumulate
-
         return [0, *accumulate(n + 1 for n in ns[:-1])] if ns is not None else None
 
     return run(lengths)

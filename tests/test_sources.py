@@ -261,3 +261,20 @@ def test_command_line(spark, folder, tmp_path, capsys):
     assert cli.main(["crypto", "hash", "x"]) == 0 and len(capsys.readouterr().out.strip()) == 64
     with pytest.raises(SystemExit):
         cli.main(["nope"])
+
+
+def test_parsed_once_and_in_portions(spark):
+    """Parsers run once, after the rows are dealt out; portions end inside a batch; a text that no column holds is its file's error alone."""
+    lines = "\n".join(f"line {i}" for i in range(30_000))
+    raw = [("text", f"{n} {lines}".encode()) for n in range(3)] + [("json", b'["\\ud800"]'), ("json", b'["ok"]'), ("nope", b""), ("text", None)]
+    df = spark.createDataFrame([(i, f, bytearray(b) if b is not None else None, 10 if i != 5 else 10**9) for i, (f, b) in enumerate(raw)], "id int, format string, content binary, size_bytes long").coalesce(1)
+    p = files.parsed(df)
+    s = files.segments(p, keep=("id",))
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 0 and plan.count("MapInArrow") == 1
+    got = {r["id"]: r for r in p.collect()}
+    assert [[x["content"] for x in got[n]["segments"]] == f"{n} {lines}".split("\n") for n in range(3)] == [True] * 3
+    assert got[2]["segments"][-1]["position"]["line"] == 30_000 and got[2]["segments"][-1]["position"]["page"] is None
+    assert [got[i]["error_kind"] for i in range(7)] == [None, None, None, "parse_error", None, "file_too_large", None]
+    assert [x["content"] for x in got[4]["segments"]] == ["ok"] and p.columns == ["id", "format", "size_bytes", "segments", "warnings", "error_kind", "error"]
+    assert s.count() == 3 * 30_000 + 1
