@@ -54,26 +54,39 @@ def _none() -> Column:
 
 def _found(line: Column, pattern: str, kind: str, offset: Column, guard: str | None = None) -> Column:
     """At most one component. guard: a cheaper pattern that a line with a match holds."""
-    one = lambda m: F.when(m != "", F.array(_component(kind, m, offset + F.regexp_instr(line, F.lit(pattern)) - 1)))
+    at = offset + F.regexp_instr(line, F.lit(pattern)) - 1
+    one = lambda m: F.when(m != "", let(at, lambda i: F.array(_component(kind, m, i))))
     found = let(F.regexp_extract(line, pattern, 0), one)
     return F.coalesce(F.when(line.rlike(guard), found) if guard else found, _none()).cast(f"array<{COMPONENT}>")
 
 
+#: Between the parts of a match; no part of a town can hold it.
+_SEP = "\x01"
+
+
 def _town(line: Column, form: str, offset: Column) -> Column:
     pattern, kinds = TOWN[form]
-
-    def split(m: Column) -> Column:
-        """The match's parts, from the match alone."""
-        at, parts = offset + F.regexp_instr(line, F.lit(pattern)) - 1, []
-        whole = pattern.replace(r"\b", "")
-        for i, kind in enumerate(kinds, 1):
-            g = F.regexp_extract(m, f"^{whole}$" if not whole.startswith("(?i)") else f"(?i)^{whole[4:]}$", i)
+    flags, bare = ("(?is)", pattern[4:]) if pattern.startswith("(?i)") else ("(?s)", pattern)
+    # one pass for what precedes the match and its parts
+    whole = F.regexp_replace(line, f"{flags}^(.*?){bare}.*", _SEP.join(f"${i}" for i in range(1, len(kinds) + 2)))
+
+    def placed(x: Column) -> Column:
+        """The parts of a match, from the ends of what lies before them; what precedes the match can hold the separator too."""
+        g = F.slice(F.split(x["all"], _SEP), -len(kinds), len(kinds))
+        sizes = F.aggregate(g, F.lit(0), lambda n, y: n + F.length(y))
+        start = offset + F.length(x["all"]) - sizes - len(kinds)
+        return let(F.struct(g.alias("g"), start.alias("at")), split)
+
+    def split(x: Column) -> Column:
+        at, parts = x["at"], []
+        for i, kind in enumerate(kinds):
             if kind:
-                parts.append(_component(kind, g, at))
-            at = at + F.length(g)
-        return F.when(m != "", F.array(*parts))
+                parts.append(_component(kind, x["g"][i], at))
+            at = at + F.length(x["g"][i])
+        return F.array(*parts)
 
-    return F.coalesce(F.when(line.rlike(TOWN_GUARD[form]), let(F.regexp_extract(line, pattern, 0), split)), _none()).cast(f"array<{COMPONENT}>")
+    found = F.when(line.rlike(pattern), let(F.struct(whole.alias("all")), placed))
+    return F.coalesce(F.when(line.rlike(TOWN_GUARD[form]), found), _none()).cast(f"array<{COMPONENT}>")
 
 
 def _confidence(parts: Column) -> Column:
@@ -133,8 +146,8 @@ def _finish(text: Column, made: Column, form: str) -> Column:
 
     multi = F.filter(F.transform(made, lambda b: block(b["parts"], F.get(b["parts"], F.lit(0))["start"], b["end"])), _valid).cast(f"array<{BLOCK}>")
     # one town of the whole text besides, unless a block has it
-    parts = _town(text, form, F.lit(0))
-    alone = F.when(F.size(parts) > 0, F.array(block(parts, F.get(parts, F.lit(0))["start"], F.element_at(parts, -1)["end"]))).otherwise(F.array()).cast(f"array<{BLOCK}>")
+    one = lambda parts: F.when(F.size(parts) > 0, F.array(block(parts, F.get(parts, F.lit(0))["start"], F.element_at(parts, -1)["end"])))
+    alone = F.coalesce(let(_town(text, form, F.lit(0)), one), F.array()).cast(f"array<{BLOCK}>")
     return F.aggregate(F.filter(alone, _valid), multi, lambda acc, b: F.when(F.exists(acc, lambda m: (m["start"] <= b["start"]) & (m["end"] >= b["end"])), acc).otherwise(F.concat(acc, F.array(b))))
 
 

@@ -80,6 +80,25 @@ def test_addresses(spark):
         address.detect_addresses(df, "xx")
 
 
+
+def test_town_in_one_pass(spark):
+    """Places are those of the first match by another engine, and a town costs few passes of its patterns."""
+    rng = random.Random(3)
+    bits = ["New York", "NY", "10001", "80331", "Muenchen", "Bad", ", ", " ", "\n", "\x01", "x1", "94102-1234", "12"]
+    rows = [(i, "".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 12)))) for i in range(400)]
+    df, found = spark.createDataFrame(rows, "id long, t string"), 0
+    for form, (pattern, kinds) in address.TOWN.items():
+        got = df.select("id", address._town(F.col("t"), form, F.lit(7)).alias("c"))
+        for r in got.collect():
+            m = re.search(pattern, rows[r["id"]][1], re.ASCII)
+            want = [(k, m[i], 7 + m.start(i), 7 + m.end(i)) for i, k in enumerate(kinds, 1) if k] if m else []
+            assert [tuple(c) for c in r["c"]] == want
+            found += bool(m)
+        made = address.detect_addresses(df.withColumnRenamed("t", "content"), form)
+        assert made._jdf.queryExecution().optimizedPlan().toString().count(pattern[-12:]) <= 8
+    assert found > 50
+
+
 def test_tables(spark):
     df = spark.createDataFrame([("Name,Email,Phone\nJohn,j@e.com,555",), ("123,456\n1,2",), ("a;b",), ("Name\tSSN\nx\t1",), ("one",)], "content string")
     got = [r["table"] for r in tables.detect_table(df).collect()]
