@@ -48,7 +48,14 @@ def read_files(spark: SparkSession, *paths: str, recursive: bool = True, max_dep
     if max_depth is not None:
         base = min(p.rstrip("/").count("/") for p in paths)
         df = df.where(F.size(F.split(F.regexp_replace("path", "^file:", ""), "/")) - 1 - base <= max_depth)
-    return df
+    return _fewer(df)
+
+
+def _fewer(df: DataFrame) -> DataFrame:
+    """Spark counts each file as some megabytes at least, so small files make a task for every few of them: these become a few tasks a core. Splits of larger files stay as they are."""
+    spark = df.sparkSession
+    size, most = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, 2 * -(-size // most)))
 
 
 def sniffed(files: DataFrame) -> DataFrame:

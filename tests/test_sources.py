@@ -278,3 +278,17 @@ def test_parsed_once_and_in_portions(spark):
     assert [got[i]["error_kind"] for i in range(7)] == [None, None, None, "parse_error", None, "file_too_large", None]
     assert [x["content"] for x in got[4]["segments"]] == ["ok"] and p.columns == ["id", "format", "size_bytes", "segments", "warnings", "error_kind", "error"]
     assert s.count() == 3 * 30_000 + 1
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """Hundreds of small files in a folder are a few tasks a core; each is read, and filters reach the reader."""
+    for i in range(700):
+        (tmp_path / f"k{i}.txt").write_text(f"no. {i}")
+    df = files.read_files(spark, str(tmp_path), max_size=6)
+    n = 4 * spark.sparkContext.defaultParallelism
+    assert files.read_files(spark, str(tmp_path)).rdd.getNumPartitions() <= n < 700 // 32
+    assert sorted(bytes(r["content"]).decode() for r in df.collect()) == sorted(f"no. {i}" for i in range(100))
+    plan = df.select("path")._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,6)" in plan and "content" not in plan.split("ReadSchema")[-1]
+    assert df.where("path like '%k1.txt'").count() == 1
+    assert discovery.scan(spark, str(tmp_path)).count() == 700
