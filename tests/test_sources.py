@@ -292,3 +292,21 @@ def test_small_files_share_tasks(spark, tmp_path):
     assert "LessThanOrEqual(length,6)" in plan and "content" not in plan.split("ReadSchema")[-1]
     assert df.where("path like '%k1.txt'").count() == 1
     assert discovery.scan(spark, str(tmp_path)).count() == 700
+
+
+def test_chunks_of_many_streams(spark, tmp_path, monkeypatch):
+    """Streams that share a part of the state don't mix, over two batches; groups are parts, not streams."""
+    monkeypatch.setattr(stream, "BUCKETS", 3, raising=False)
+    kind = "stream_id string, seq long, chunk binary"
+    texts = {f"s{i}": f"stream {i} é a{i}@b.de\nend" for i in range(40)}
+    for half in range(2):
+        rows = [(k, n, bytearray(t.encode()[n * 5 : n * 5 + 5])) for k, t in texts.items() for n in range(3 * half, 3 if not half else 9)] + ([(k, 9, None) for k in texts] if half else [])
+        spark.createDataFrame(rows[::-1], kind).write.mode("append").parquet(f"{tmp_path}/c")
+        cut = stream.scan_chunks(spark.readStream.schema(kind).parquet(f"{tmp_path}/c"))
+        assert "_bucket" in cut._jdf.queryExecution().analyzed().toString()
+        stream.run_batches(cut, lambda b, i: b.write.mode("overwrite").parquet(f"{tmp_path}/out/{i}"), f"{tmp_path}/check").awaitTermination()
+    got: dict = {}
+    for r in sorted(spark.read.parquet(f"{tmp_path}/out/*").collect(), key=lambda r: r["byte_offset"]):
+        assert r["error"] is None and r["byte_offset"] == len(got.get(r["stream_id"], "").encode())
+        got[r["stream_id"]] = got.get(r["stream_id"], "") + r["content"]
+    assert got == texts
